@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .decontaminate import op1_decontamination
+from .language import op9_language
+from .secrets import op4_secrets
 
 
 def queries() -> dict:
-    found = [op1_decontamination]
+    found = [op1_decontamination, op4_secrets, op9_language]
     return {f.__name__: f for f in found}
 
 
