@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from .decontaminate import op1_decontamination
 from .language import op9_language
+from .mixing import OP6_SQL, op6_mixing
+from .quality import op8_quality
 from .secrets import op4_secrets
 
 
 def queries() -> dict:
-    found = [op1_decontamination, op4_secrets, op9_language]
+    found = [op1_decontamination, op4_secrets, op6_mixing, op8_quality, op9_language]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_mixing": OP6_SQL}
