@@ -84,7 +84,11 @@ class Network:
             padded, at, value, edges, top, left, right, pooled, chunks, filled = kept
             row = np.repeat(np.arange(len(filled)), chunks[filled])
             back = error[filled][:, None] * self.weights[None, :]
-            best = pooled == features[filled][row, :FILTERS]
+            # Neighbouring chunks share a half, so a maximum may stand in two chunks: the first one gets the gradient.
+            best = np.zeros(pooled.shape, bool)
+            top_chunk, top_filter = np.nonzero(pooled == features[filled][row, :FILTERS])
+            _, once = np.unique(row[top_chunk] * FILTERS + top_filter, return_index=True)
+            best[top_chunk[once], top_filter[once]] = True
             flow = back[row, FILTERS:] / chunks[filled][row][:, None] + np.where(best, back[row, :FILTERS], 0)
             flow[pooled <= 0] = 0
             source = np.where(top[left] >= top[right], left[:, None], right[:, None])
