@@ -60,8 +60,8 @@ def test_held_out_quality(spark):
 
 @pytest.mark.parametrize("labels", [[], [1, 1, 1]])
 def test_edges(spark, labels):
-    train = spark.createDataFrame([(i, "text", y) for i, y in enumerate(labels)], "doc_id long, text string, quality int")
-    net = q.train(train)
+    marks = spark.createDataFrame([*((i, y) for i, y in enumerate(labels)), (None, 1), (77, 5), (78, None)], "doc_id long, quality int")
+    net = q.train(spark.createDataFrame([(i, "text") for i in range(4)], "doc_id long, text string"), marks)
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "é" * 300_000, "x"), (3, "é" * 300_000, "x")], "doc_id long, text string, score string")
     got = q.score(docs, net).collect()
     assert len(got) == 4 and len({round(r.score, 6) for r in got}) == 1 and all(0 <= r.score <= 1 for r in got)

@@ -140,20 +140,23 @@ def fit(texts: list[bytes], labels: np.ndarray, *, seed: int = 7, epochs: int =
     return net
 
 
-def train(labelled: DataFrame, *, row_id: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Network:
-    """Learns from at most sample_rows of the labelled rows, chosen by a hash of the id, and at most sample_bytes of text."""
-    rows = labelled.where(F.col(label).isin(0, 1)).select(F.xxhash64(row_id).alias("h"), F.col(row_id).alias("id"), F.encode(F.coalesce(text, F.lit("")), "UTF-8").alias("text"), F.col(label).cast("int").alias("label"))
-    # Ids first, so that only the chosen texts travel.
-    picked = rows.select("h", "id", F.length("text").alias("size")).orderBy("h", "id").limit(sample_rows).collect()
-    total, chosen = 0, []
-    for r in picked:
+def train(docs: DataFrame, labels: DataFrame, *, row_id: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Network:
+    """Learns from the labels with the smallest hashes of their ids: at most sample_rows of them and sample_bytes of text.
+
+    The sample is drawn from the labels alone, so only it is sent to the documents, and only its texts come back.
+    """
+    known = labels.where(F.col(label).isin(0, 1) & F.col(row_id).isNotNull()).select(F.xxhash64(row_id).alias("h"), F.col(row_id).alias("id"), F.col(label).cast("int").alias("label"))
+    picked = F.broadcast(docs.sparkSession.createDataFrame(known.orderBy("h", "id", "label").limit(sample_rows).collect(), known.schema))
+    bytes_of = F.encode(F.coalesce(text, F.lit("")), "UTF-8")
+    rows = docs.select(F.col(row_id).alias("id"), bytes_of.alias("text")).join(picked, "id")
+    sizes = rows.groupBy("h").agg(F.sum(F.length("text")).alias("size")).orderBy("h").collect()
+    total, last = 0, None
+    for r in sizes:
         total += r["size"]
         if total > sample_bytes:
             break
-        chosen.append(r["h"])
-    if not chosen:
-        return fit([], np.zeros(0))
-    got = rows.where(F.col("h") <= chosen[-1]).limit(2 * sample_rows).collect()
+        last = r["h"]
+    got = [] if last is None else rows.where(F.col("h") <= last).collect()
     got = sorted(got, key=lambda r: (r["h"], bytes(r["text"]), r["label"]))
     return fit([bytes(r["text"]) for r in got], np.array([r["label"] for r in got], np.float64))
 
@@ -177,6 +180,5 @@ def score(docs: DataFrame, net: Network, *, text: str = "text", keep: list[str]
 def op8_quality(spark, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = crc_fold("doc_id", 3) == 1
-    labelled = docs.where(~held).select("doc_id", "text").join(labels.where(~held).select("doc_id", "quality"), "doc_id")
-    net = train(labelled)
+    net = train(docs, labels.where(~held))
     return score(docs.select("doc_id", "text"), net, keep=["doc_id"]).select("doc_id", held.alias("held_out"), "score", "predicted")
