@@ -7,12 +7,14 @@ from .language import op9_language
 from .mixing import OP6_SQL, op6_mixing
 from .quality import op8_quality
 from .secrets import op4_secrets
+from .topk import OP3_SQL, op3_topk
+from .warc import OP7_SQL, op7_warc
 
 
 def queries() -> dict:
-    found = [op1_decontamination, op4_secrets, op6_mixing, op8_quality, op9_language]
+    found = [op1_decontamination, op3_topk, op4_secrets, op6_mixing, op7_warc, op8_quality, op9_language]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": OP6_SQL}
+    return {"op3_topk": OP3_SQL, "op6_mixing": OP6_SQL, "op7_warc": OP7_SQL}

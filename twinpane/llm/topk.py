@@ -108,13 +108,6 @@ class Tree:
         return opened
 
 
-def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a list column: the rows that are whole and finite, their dimensions, and all flat values from their offsets."""
-    column = column.cast(pa.large_list(pa.float64()))
-    size = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
-    return size, column
-
-
 def _shards(column: str, row_id: str, shard_rows: int, every: int, scale: int):
     def run(batches):
         held: dict[int, list] = {}

@@ -95,7 +95,7 @@ def write_archives(pages: DataFrame, *, page_id: str = "page_id", url: str = "ur
                 for page, link, refers_to, html in zip(*(batch.column(c) for c in ("page_id", "url", "refers_to", "payload")), strict=True):
                     if out is None:
                         path, at = f"{uuid.uuid4().hex}.warc.gz", 0
-                        out = store.open_output_stream(f"{root}/{path}")
+                        out = store.open_output_stream(f"{root}/{path}", compression=None)
                     page, link, refers_to, html = page.as_py(), link.as_py(), refers_to.as_py(), html.as_py()
                     kind, sha = "revisit" if refers_to is not None else "response", digest(html)
                     member = pack(page, link, html, kind, refers_to, sha, date)
