@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op1_decontamination
 from .jaccard import op5_jaccard
 from .language import op9_language
+from .lm import op10_lm
 from .mixing import OP6_SQL, op6_mixing
 from .quality import op8_quality
 from .secrets import op4_secrets
@@ -13,7 +14,7 @@ from .warc import OP7_SQL, op7_warc
 
 
 def queries() -> dict:
-    found = [op1_decontamination, op3_topk, op4_secrets, op5_jaccard, op6_mixing, op7_warc, op8_quality, op9_language]
+    found = [op1_decontamination, op3_topk, op4_secrets, op5_jaccard, op6_mixing, op7_warc, op8_quality, op9_language, op10_lm]
     return {f.__name__: f for f in found}
 
 
