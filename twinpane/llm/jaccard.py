@@ -11,10 +11,11 @@ in a prefix.
 3. A pair of groups goes on only if its prefixes allow enough overlap; it is expanded to its classes, and the classes
    are verified on their whole texts.
 4. Connected components of the verified links (large-star and small-star steps).
-5. In the large buckets, what the pivots left in other components than most of the bucket is compared with all of the
-   bucket in other components: no link between different components is lost, and pairs within one are never made.
+5. In the large buckets, what the pivots left in other components than most of the bucket is compared with the rows of
+   other components, whole sets at once in cells of bounded size: no link between different components is lost, pairs
+   within one component are not compared, and only links leave a cell.
 
-Result: the component of every row. Links within a component need not all be made for that; `links` are those verified.
+Result: the component of every row; links within a component need not all be made for that.
 
 Defined results: null texts and texts without words have empty sets, n_shingles 0 and a component of their own. Rows are
 documents: rows that repeat an id stand for themselves, by their texts. Rows without an id link like any others; a
@@ -30,12 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import SPACED, grams, mix, slices, utf8, words
+from .arrays import SPACED, grams, slices, utf8, words
 from .common import drop_tables, stored, table
 
 WORDS, PERCENT = 5, 80
 HOT_MIN, HOT_MAX = 16, 2_000_000
 SMALL, PIVOTS = 40, 8
+CELL_STRAYS, CELL_ROWS = 256, 1024
 BAND = 1.25  # sizes of linked sets differ by this factor at most, at 80 %
 PROFILE = "doc_id long, n int, node long, sig binary, grp long, pre binary, end_df int"
 
@@ -315,16 +317,64 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
-def left_over(big: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """In large buckets (tok, id, n, ga): pairs of different components, one of them not the bucket's most common."""
-    rows = stored(big.join(roots, big["id"] == roots["node"], "left").select("tok", "id", "ga", "n", F.coalesce("root", "id").alias("root")), "jaccard-large")
+def _cell(size: int, percent: int):
+    """Links between the strays and the rows of a cell, one for each stray and root."""
+
+    def sets(rows: pa.Table):
+        found = list(sets_of(rows.to_batches()[0], "text", size)) if rows.num_rows else []
+        good = [i for i, (x, s) in enumerate(zip(found, rows.column("sig").to_pylist(), strict=True)) if signature(x) == s]
+        return [found[i] for i in good], rows.column("id").to_numpy()[good], rows.column("root").to_numpy()[good]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        right = right.rename_columns(left.column_names)
+        (xs, x_id, x_root), (ys, y_id, y_root) = sets(left.combine_chunks()), sets(right.combine_chunks())
+        if xs and ys:
+            n = np.array([len(y) for y in ys])
+            known, code = np.unique(np.concatenate(ys), return_inverse=True)
+            starts = np.cumsum(n) - n
+            here = np.zeros(len(known), np.int32)
+            for x, name, root in zip(xs, x_id.tolist(), x_root.tolist(), strict=True):
+                at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                at = at[known[at] == x]
+                here[at] = 1
+                both = np.add.reduceat(here[code], starts)
+                here[at] = 0
+                linked = np.flatnonzero((100 * both >= percent * (len(x) + n - both)) & (y_root != root))
+                out += [(name, int(y_id[linked[i]])) for i in np.unique(y_root[linked], return_index=True)[1]]
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def left_over(large: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links that the pivots left open in large buckets (tok, id).
+
+    In a bucket whose rows have several roots, the strays, those outside the most common one, are compared with all
+    rows of other roots. Buckets of the same most common root are taken together; their strays and rows are dealt into
+    cells of bounded sizes, where whole sets are compared and no pair leaves but a link.
+    """
+    rows = large.join(roots, large["id"] == roots["node"], "left").select("tok", "id", F.coalesce("root", "id").alias("root"))
+    rows = stored(rows, "jaccard-large")
     shares = rows.groupBy("tok", "root").agg(F.count("*").alias("k"))
     main = shares.groupBy("tok").agg(F.count("*").alias("roots"), F.max(F.struct("k", "root"))["root"].alias("main")).where("roots > 1")
-    rows = stored(rows.join(main.select("tok", "main"), "tok"), "jaccard-mixed")
-    x = rows.where("root <> main").select("tok", F.col("id").alias("a"), F.col("ga"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    y = rows.select("tok", F.col("id").alias("b"), F.col("ga").alias("gb"), F.col("n").alias("nb"), F.col("root").alias("rb"), (F.col("root") == F.col("main")).alias("most"))
-    sizes = 100 * F.least("na", "nb").cast("long") >= percent * F.greatest("na", "nb").cast("long")
-    return x.join(y, "tok").where((F.col("ra") != F.col("rb")) & (F.col("most") | (F.col("a") < F.col("b"))) & sizes).select("a", "b", "ga", "gb").distinct()
+    rows = stored(rows.join(main.select("tok", "main"), "tok").select("main", "id", "root").distinct(), "jaccard-mixed")
+    spans = rows.groupBy("main").agg(F.count_if(F.col("root") != F.col("main")).alias("strays"), F.count("*").alias("all"))
+    blocks = lambda n, most: F.ceil(F.col(n) / most).cast("int")
+    placed = rows.join(spans.select("main", blocks("strays", CELL_STRAYS).alias("sb"), blocks("all", CELL_ROWS).alias("rb")), "main")
+    ids = stored(placed.select("main", "id", "root", "sb", "rb").join(classes.select(F.col("node").alias("id"), "cid", "sig"), "id"), "jaccard-placed")
+    texts = docs.join(ids.select("cid").distinct(), F.col("doc_id").eqNullSafe(F.col("cid")), "left_semi").select(F.col("doc_id").alias("t_id"), "text").distinct()
+    whole = ids.join(texts, F.col("cid").eqNullSafe(F.col("t_id"))).drop("cid", "t_id")
+    part = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = whole.where("root <> main").withColumn("i", part("sb", 1)).withColumn("j", every("rb"))
+    right = whole.withColumn("j", part("rb", 2)).withColumn("i", every("sb"))
+    key = ["main", "i", "j"]
+    columns = [*key, "id", "root", "sig", "text"]
+    right = right.select(columns).toDF(*(f"r_{c}" for c in columns))  # new columns: both sides come from one frame
+    found = left.select(columns).groupBy(key).cogroup(right.groupBy(*(f"r_{c}" for c in key))).applyInArrow(_cell(size, percent), "a long, b long")
+    return stored(found, "jaccard-left")
 
 
 def near_duplicates(docs: DataFrame, *, row_id: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -348,14 +398,12 @@ def near_duplicates(docs: DataFrame, *, row_id: str = "doc_id", text: str = "tex
     links = verified(expanded.union(inner).distinct(), classes, docs, size, percent)
     roots = components(links)
 
-    grouped = large.select("tok", F.col("id").alias("ga"), "n").join(member("a"), "ga").select("tok", F.col("a").alias("id"), "n", "ga")
-    grouped = grouped.union(inner_large.select(F.xxhash64("tok"), "id", "n", "tok"))
+    grouped = large.select("tok", F.col("id").alias("ga")).join(member("a"), "ga").select("tok", F.col("a").alias("id"))
+    grouped = grouped.union(inner_large.select(F.xxhash64("tok"), "id"))
     if not grouped.isEmpty():
-        again = stored(bounded(left_over(grouped, roots, percent), groups, percent), "jaccard-again")
-        if not again.isEmpty():
-            more = verified(again.select("a", "b").distinct(), classes, docs, size, percent)
-            if not more.isEmpty():
-                roots = components(links.union(more))
+        more = left_over(grouped, roots, classes, docs, size, percent)
+        if not more.isEmpty():
+            roots = components(links.union(more))
 
     rooted = classes.select("node", "cid").join(roots, "node", "left").select("node", "cid", F.coalesce("root", "node").alias("root"))
     named = stored(rooted.join(rooted.groupBy("root").agg(F.min("cid").alias("component_id")), "root").select("node", "component_id"), "jaccard-components")
