@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .arrays import SPACED, mix, slices, utf8, words
 from .common import crc_fold, scratch_path, stored, table
 
-BLOCK_BYTES, SLICE_ENTRIES, BLOCKS_A_FILE = 8 << 20, 2_000_000, 4
+BLOCK_BYTES, SLICE_ENTRIES, BLOCKS_A_FILE = 4 << 20, 2_000_000, 8
 START, END = np.uint64(0x5EED5EED5EED5EED), np.uint64(0xE4D0E4D0E4D0E4D1)
 BLOCK = "block long, n long, ids array<long>, train binary, offsets binary, data binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -65,6 +65,25 @@ def _pack(block_bytes: int):
     return run
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, a place of each, and the index of every element among them."""
+    order = np.argsort(x)
+    ranked = x[order]
+    new = np.empty(len(x), bool)
+    new[:1] = True
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    inverse = np.empty(len(x), np.int32)
+    inverse[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ranked[new], order[new], inverse
+
+
+def rows_of(batches):
+    """The rows of block batches, one at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 class Block:
     """Tokens of a block: the words of each text and its end, their distinct values and those of pairs."""
 
@@ -82,9 +101,9 @@ class Block:
         before = np.empty_like(token)
         before[1:] = token[:-1]
         before[first] = START
-        self.words, self.word = np.unique(token, return_inverse=True)
+        self.words, _, self.word = distinct(token)
         pair = mix(before * np.uint64(0x9E3779B97F4A7C15) + token)
-        self.pairs, at, self.pair = np.unique(pair, return_index=True, return_inverse=True)
+        self.pairs, at, self.pair = distinct(pair)
         # The context of the first token counts as often as texts end.
         previous = np.empty_like(self.word)
         previous[1:] = self.word[:-1]
@@ -109,11 +128,10 @@ def _bounds(parts: int) -> np.ndarray:
 
 def _asks(parts: int):
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                rows = [(part, kind, row["block"], h.astype("<u8").tobytes(), c.astype("<u4").tobytes()) for kind, part, h, c in Block(row).asks(parts)]
-                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "kind", "block", "hashes", "counts"])
+        for row in rows_of(batches):
+            rows = [(part, kind, row["block"], h.astype("<u8").tobytes(), c.astype("<u4").tobytes()) for kind, part, h, c in Block(row).asks(parts)]
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "kind", "block", "hashes", "counts"])
 
     return run
 
@@ -126,7 +144,7 @@ def _answers(asked: pa.Table) -> pa.Table:
     hashes = [np.frombuffer(x, "<u8") for x in asked.column("hashes").to_pylist()]
     counts = [np.frombuffer(x, "<u4") for x in asked.column("counts").to_pylist()]
     kind, part = asked.column("kind")[0].as_py(), asked.column("part")[0].as_py()
-    _, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
+    _, _, inverse = distinct(np.concatenate(hashes))
     total = np.bincount(inverse, np.concatenate(counts)).astype(np.uint64)
     width = "<u4" if int(total.max()) < 1 << 32 else "<u8"
     out, at = [], 0
@@ -178,20 +196,19 @@ def _held_out(shelf: _Shelf, n: int):
     """The histogram of the training tokens of each block, each scored with itself deleted."""
 
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                block = Block(row)
-                word, pair = shelf.totals(block, row["block"], row["bucket"])
-                weight = np.bincount(block.pair[block.train[block.doc]], minlength=len(block.pairs))
-                some = weight > 0
-                weight, c2, c1, c = weight[some], pair[some] - 1, word[block.pair_context[some]] - 1, word[block.pair_word[some]] - 1
-                p2, p1 = c2 / np.maximum(c1, 1), c / max(n - 1, 1)
-                cell = lambda p: np.where(p > 0, np.floor(np.log10(np.maximum(p, 1e-300)) / STEP).astype(np.int64), -10_000)
-                keys, inverse = np.unique(np.stack([context_bucket(c1), cell(p2), cell(p1)], axis=1), axis=0, return_inverse=True)
-                inverse = inverse.reshape(-1)
-                sums = [np.bincount(inverse, w) for w in (weight, weight * p2, weight * p1)]
-                if len(keys):
-                    yield pa.RecordBatch.from_arrays([*(pa.array(keys[:, i].astype(np.int32)) for i in range(3)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], [x.split()[0] for x in HISTOGRAM.split(", ")])
+        for row in rows_of(batches):
+            block = Block(row)
+            word, pair = shelf.totals(block, row["block"], row["bucket"])
+            weight = np.bincount(block.pair[block.train[block.doc]], minlength=len(block.pairs))
+            some = weight > 0
+            weight, c2, c1, c = weight[some], pair[some] - 1, word[block.pair_context[some]] - 1, word[block.pair_word[some]] - 1
+            p2, p1 = c2 / np.maximum(c1, 1), c / max(n - 1, 1)
+            # Cells: context bucket, then the two estimates by STEP of their logarithms, 0 for an estimate of none.
+            cell = lambda p: np.where(p > 0, np.maximum(np.log10(np.maximum(p, 1e-300)) / STEP, -4000).astype(np.int64) - 1, 0) + 8191
+            keys, _, inverse = distinct((context_bucket(c1) << 26) + (cell(p2) << 13) + cell(p1))
+            sums = [np.bincount(inverse, w) for w in (weight, weight * p2, weight * p1)]
+            if len(keys):
+                yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int32)) for x in (keys >> 26, keys >> 13 & 8191, keys & 8191)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], [x.split()[0] for x in HISTOGRAM.split(", ")])
 
     return run
 
@@ -229,19 +246,18 @@ def _weights_of(context: np.ndarray, lam: dict[int, tuple]) -> np.ndarray:
 
 def _scores(shelf: _Shelf, n: int, v: int, lam: dict):
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                block = Block(row)
-                word, pair = shelf.totals(block, row["block"], row["bucket"])
-                docs = len(block.sizes)
-                base = np.log10((word + 1) / (n + v + 1))
-                lam_of = _weights_of(context_bucket(word[block.pair_context]), lam)
-                context = word[block.pair_context]
-                p = lam_of[:, 0] * pair / np.maximum(context, 1) + lam_of[:, 1] * word[block.pair_word] / max(n, 1) + lam_of[:, 2] / (v + 1)
-                log_p = np.log10(p) if n else np.zeros(len(p))
-                sums = lambda x: np.bincount(block.doc, x, docs)
-                columns = [pa.array(block.ids, pa.int64()), pa.array(~block.train), pa.array(block.sizes), pa.array(sums((word > 0)[block.word].astype(float)).astype(np.int64)), pa.array(sums(base[block.word])), pa.array(sums(log_p[block.pair]))]
-                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCORES.split(", ")])
+        for row in rows_of(batches):
+            block = Block(row)
+            word, pair = shelf.totals(block, row["block"], row["bucket"])
+            docs = len(block.sizes)
+            base = np.log10((word + 1) / (n + v + 1))
+            lam_of = _weights_of(context_bucket(word[block.pair_context]), lam)
+            context = word[block.pair_context]
+            p = lam_of[:, 0] * pair / np.maximum(context, 1) + lam_of[:, 1] * word[block.pair_word] / max(n, 1) + lam_of[:, 2] / (v + 1)
+            log_p = np.log10(p) if n else np.zeros(len(p))
+            sums = lambda x: np.bincount(block.doc, x, docs)
+            columns = [pa.array(block.ids, pa.int64()), pa.array(~block.train), pa.array(block.sizes), pa.array(sums((word > 0)[block.word].astype(float)).astype(np.int64)), pa.array(sums(base[block.word])), pa.array(sums(log_p[block.pair]))]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCORES.split(", ")])
 
     return run
 
