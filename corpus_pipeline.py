@@ -1,8 +1,72 @@
-"""Corpus pipeline: placeholder until its stages exist."""
+"""The corpus pipeline: five stages over `documents`, each written as Parquet and read again as the next one's input.
 
-STAGES: list = []
+Language identification, near-duplicate removal, benchmark decontamination, secret redaction, mixing to target weights.
+A stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from twinpane.llm.common import scratch_path, table
+from twinpane.llm.decontaminate import decontaminate
+from twinpane.llm.jaccard import near_duplicates
+from twinpane.llm.language import UNDETERMINED, identify, learn
+from twinpane.llm.mixing import mix
+from twinpane.llm.secrets import redact
+
+#: A language below this probability counts as not recognised.
+LEAST_SCORE = 0.5
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; texts that are null, have no letter or are in doubt go."""
+    found = identify(docs, learn(docs), into=("_lang_pred", "_lang_score"))
+    kept = found.where((F.col("_lang_pred") != UNDETERMINED) & (F.col("_lang_score") >= LEAST_SCORE))
+    return kept.drop("_lang_pred", "_lang_score")
+
+
+def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest id (of rows with that id, one)."""
+    found = near_duplicates(docs)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    kept = docs.alias("d").join(first.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left_semi")
+    return kept.dropDuplicates(["doc_id"])
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go; from the others, passages of the benchmark are cut."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with its secrets masked."""
+    return redact(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with size, source_size, target and taken."""
+    return mix(docs).where("taken > 0")
+
+
+STAGES = [
+    ("language", language_stage),
+    ("near_duplicates", duplicates_stage),
+    ("decontamination", decontamination_stage),
+    ("secrets", secrets_stage),
+    ("mixing", mixing_stage),
+]
+
+#: Language identification can't be expressed in SQL; tests compare the pipeline with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn, from the table of documents; every result but the last is written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = scratch_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
