@@ -6,14 +6,15 @@ is, scored with counts from which it has been deleted.
 
 How the counts travel: documents are packed into blocks of some megabytes of text, written as a table. A block sends
 its distinct words and pairs of words, as sorted hashes with their counts in the block's training texts, to slices of
-the hash space; a slice adds up the counts of all blocks and answers each block with the sums, in the order it asked.
+the hash space; a slice adds up the counts of all blocks and answers each block with what the others have, in the order
+it asked.
 So a word or pair travels once per block in which it stands, however often, and no task holds more than one slice or
 one block. The answers are a table in the shared folder that each block's task reads; texts are not shuffled.
 
 What goes to the driver is bounded: N, V, and a histogram of the held-out tokens by context frequency and by rounded
 logarithms of the two estimates (mean estimates are kept per cell), on which the weights are learned.
 
-Defined results: a null text is empty and is the one token `end`. Words are hashed to 64 bits. Without training rows N
+Defined results: a null text is empty and is the one token `end`. Words are hashed to 64 bits, pairs to 54. Without training rows N
 and V are 0 and every token has probability 1 in the base model and in the other. Rows that repeat count and are scored
 each. A null id is kept. Columns of the input other than id and text are not read.
 """
@@ -34,6 +35,8 @@ from .common import crc_fold, scratch_path, stored, table
 
 BLOCK_BYTES, SLICE_ENTRIES, BLOCKS_A_FILE = 4 << 20, 2_000_000, 8
 START, END = np.uint64(0x5EED5EED5EED5EED), np.uint64(0xE4D0E4D0E4D0E4D1)
+#: Pairs keep the first 54 bits of their hashes, which travel as six bytes within a slice.
+PAIR_BITS = ~np.uint64(1023)
 BLOCK = "block long, n long, ids array<long>, train binary, offsets binary, data binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 STEP, ITERATIONS = 0.05, 100
@@ -102,7 +105,7 @@ class Block:
         before[1:] = token[:-1]
         before[first] = START
         self.words, _, self.word = distinct(token)
-        pair = mix(before * np.uint64(0x9E3779B97F4A7C15) + token)
+        pair = mix(before * np.uint64(0x9E3779B97F4A7C15) + token) & PAIR_BITS
         self.pairs, at, self.pair = distinct(pair)
         # The context of the first token counts as often as texts end.
         previous = np.empty_like(self.word)
@@ -110,16 +113,44 @@ class Block:
         previous[first] = np.searchsorted(self.words, END)
         self.pair_word, self.pair_context = self.word[at], previous[at]
 
-    def asks(self, parts: int):
-        """(kind, slice, hashes, counts in training texts)."""
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """How often each word and each pair stands in the block's training texts."""
         learned = self.train[self.doc]
-        for kind, values, inverse in ((1, self.words, self.word), (2, self.pairs, self.pair)):
-            count = np.bincount(inverse[learned], minlength=len(values)).astype(np.uint32)
-            cuts = np.searchsorted(values, _bounds(parts))
-            for part in range(parts):
-                a, b = cuts[part], cuts[part + 1] if part + 1 < parts else len(values)
-                if b > a:
-                    yield kind, part, values[a:b], count[a:b]
+        return tuple(np.bincount(inverse[learned], minlength=len(values)) for values, inverse in ((self.words, self.word), (self.pairs, self.pair)))
+
+    def asks(self, parts: int):
+        """(kind, slice, hashes, counts in training texts), packed."""
+        for kind, values, count in zip((1, 2), (self.words, self.pairs), self.counts(), strict=True):
+            bounds = _bounds(parts)
+            cuts = np.append(np.searchsorted(values, bounds), len(values))
+            for part in np.flatnonzero(np.diff(cuts)).tolist():
+                a, b = cuts[part], cuts[part + 1]
+                yield kind, part, pack_hashes(kind, values[a:b], bounds[part]), pack_counts(count[a:b])
+
+
+def pack_hashes(kind: int, values: np.ndarray, base: np.uint64) -> bytes:
+    """Words as eight bytes, pairs as the six that differ within a slice (at least 16 slices)."""
+    if kind == 1:
+        return values.astype("<u8").tobytes()
+    return np.ascontiguousarray(((values - (base & PAIR_BITS)) >> np.uint64(10)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unpack_hashes(kind: int, data: bytes) -> np.ndarray:
+    if kind == 1:
+        return np.frombuffer(data, "<u8")
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").reshape(-1)
+
+
+def pack_counts(count: np.ndarray) -> bytes:
+    """Whole numbers in the fewest bytes that hold the largest."""
+    top = int(count.max(initial=0))
+    return count.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8").tobytes()
+
+
+def unpack_counts(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // max(n, 1) or 1}")
 
 
 def _bounds(parts: int) -> np.ndarray:
@@ -129,7 +160,7 @@ def _bounds(parts: int) -> np.ndarray:
 def _asks(parts: int):
     def run(batches):
         for row in rows_of(batches):
-            rows = [(part, kind, row["block"], h.astype("<u8").tobytes(), c.astype("<u4").tobytes()) for kind, part, h, c in Block(row).asks(parts)]
+            rows = [(part, kind, row["block"], h, c) for kind, part, h, c in Block(row).asks(parts)]
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "kind", "block", "hashes", "counts"])
 
@@ -140,16 +171,15 @@ ANSWER = "block long, kind int, part int, totals binary, n long, v long"
 
 
 def _answers(asked: pa.Table) -> pa.Table:
-    """The sums of one slice and kind for each block that asked, and one row with N and V of the slice."""
-    hashes = [np.frombuffer(x, "<u8") for x in asked.column("hashes").to_pylist()]
-    counts = [np.frombuffer(x, "<u4") for x in asked.column("counts").to_pylist()]
+    """For each block that asked, what the others count of a slice and kind; and one row with N and V of the slice."""
     kind, part = asked.column("kind")[0].as_py(), asked.column("part")[0].as_py()
+    hashes = [unpack_hashes(kind, x) for x in asked.column("hashes").to_pylist()]
+    counts = [unpack_counts(x, len(h)) for x, h in zip(asked.column("counts").to_pylist(), hashes, strict=True)]
     _, _, inverse = distinct(np.concatenate(hashes))
-    total = np.bincount(inverse, np.concatenate(counts)).astype(np.uint64)
-    width = "<u4" if int(total.max()) < 1 << 32 else "<u8"
+    total = np.bincount(inverse, np.concatenate(counts)).astype(np.int64)
     out, at = [], 0
-    for h in hashes:
-        out.append(total[inverse[at : at + len(h)]].astype(width).tobytes())
+    for h, c in zip(hashes, counts, strict=True):
+        out.append(pack_counts(total[inverse[at : at + len(h)]] - c))
         at += len(h)
     n = len(hashes) + 1
     columns = [pa.array([*asked.column("block").to_pylist(), None], pa.int64()), pa.array([kind] * n, pa.int32()), pa.array([part] * n, pa.int32()), pa.array([*out, None], pa.binary()), pa.array([None] * (n - 1) + [int(total.sum())], pa.int64()), pa.array([None] * (n - 1) + [int((total > 0).sum())], pa.int64())]
@@ -159,31 +189,22 @@ def _answers(asked: pa.Table) -> pa.Table:
 class _Shelf:
     """Reads the answers to a block from the table of answers."""
 
-    def __init__(self, path: str, slices: int):
-        self.path, self.slices, self.store = path, slices, None
+    def __init__(self, path: str, parts: int):
+        self.path, self.parts, self.store = path, parts, None
 
     def totals(self, block: Block, key: int, bucket: int) -> tuple[np.ndarray, np.ndarray]:
         if self.store is None:
             self.store, self.root = pyarrow.fs.FileSystem.from_uri(self.path)
         got = pyarrow.dataset.dataset(f"{self.root}/bucket={bucket}", filesystem=self.store, format="parquet").to_table(columns=["kind", "part", "totals"], filter=pyarrow.dataset.field("block") == key)
-        kinds, parts, data = (got.column(c).to_pylist() for c in ("kind", "part", "totals"))
+        answers = {(k, p): d for k, p, d in zip(*(got.column(c).to_pylist() for c in ("kind", "part", "totals")), strict=True)}
         out = []
-        for kind, values in ((1, block.words), (2, block.pairs)):
-            mine = sorted((p, d) for k, p, d in zip(kinds, parts, data, strict=True) if k == kind)
-            found = [np.frombuffer(d, w) for (p, d), w in zip(mine, _widths(values, mine, self.slices), strict=True)]
-            out.append(np.concatenate(found).astype(np.float64) if found else np.zeros(0))
-            if len(out[-1]) != len(values):
-                raise ValueError("a block's answers are not whole")
+        for kind, values, own in zip((1, 2), (block.words, block.pairs), block.counts(), strict=True):
+            sizes = np.diff(np.append(np.searchsorted(values, _bounds(self.parts)), len(values)))
+            others = [unpack_counts(answers[kind, part], sizes[part]) for part in np.flatnonzero(sizes).tolist()]
+            out.append(own + np.concatenate(others).astype(np.float64))
         return out[0], out[1]
 
 
-def _widths(values: np.ndarray, mine: list, parts: int):
-    """4 or 8 bytes an entry, by the number of entries that the block asked of each slice."""
-    cuts = np.append(np.searchsorted(values, _bounds(parts)), len(values))
-    for part, data in mine:
-        yield "<u4" if len(data) == 4 * (cuts[part + 1] - cuts[part]) else "<u8"
-
-
 def context_bucket(count: np.ndarray) -> np.ndarray:
     """0 for contexts never seen, else 1 + the whole logarithm to base 2."""
     return np.where(count > 0, np.floor(np.log2(np.maximum(count, 1))) + 1, 0).astype(np.int64)
@@ -265,7 +286,7 @@ def _scores(shelf: _Shelf, n: int, v: int, lam: dict):
 def score_corpus(docs: DataFrame, train: Column, *, row_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, slice_entries: int = SLICE_ENTRIES) -> DataFrame:
     """Scores every row of docs with the model of the rows for which `train` holds; the columns of SCORES and train_tokens."""
     read = docs.select(F.col(row_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    blocks = stored(read.mapInArrow(_pack(block_bytes), BLOCK), "lm-blocks")
+    blocks = stored(read.mapInArrow(_pack(block_bytes), BLOCK), "lm-blocks", "zstd")
     n_blocks, size = blocks.agg(F.count("*"), F.coalesce(F.sum(F.length("data")), F.lit(0))).first()
     parts = max(24, -(-size // (6 * slice_entries)))
     buckets = max(1, -(-n_blocks // BLOCKS_A_FILE))
@@ -273,7 +294,7 @@ def score_corpus(docs: DataFrame, train: Column, *, row_id: str = "doc_id", text
     asked = blocks.mapInArrow(_asks(parts), "part int, kind int, block long, hashes binary, counts binary")
     answered = asked.groupBy("part", "kind").applyInArrow(_answers, ANSWER).withColumn("bucket", F.when(F.col("block").isNull(), -1).otherwise(bucket))
     path = scratch_path(docs.sparkSession, "lm-answers")
-    answered.repartition(max(buckets, 1), "bucket").sortWithinPartitions("bucket", "block").write.partitionBy("bucket").parquet(path)
+    answered.repartition(max(buckets, 1), "bucket").sortWithinPartitions("bucket", "block").write.partitionBy("bucket").parquet(path, compression="zstd")
     answers = docs.sparkSession.read.schema(answered.schema).parquet(path)
     n, v = answers.where("bucket = -1 and kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     shelf = _Shelf(path, parts)
