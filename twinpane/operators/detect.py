@@ -1,0 +1,84 @@
+"""Detectors: each turns the tables of two sides into issue rows."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import locales, urls
+from . import assemble, matching
+
+BY = ["page_id"]
+HYGIENE, PAGE_FACT, MISSING, PAIR, STATUS, CHROME = 0.98, 0.97, 0.90, 0.95, 0.99, 0.85
+COLUMNS = ["page_id", "type", "category", "severity", "confidence", "text", "role", "href", "landmark", "seq_old", "seq_new", "emit_ord"]
+
+
+def _issue(frame: DataFrame, type_, category: str, severity, confidence, order: int, *, text=None, role=None, href=None, landmark=None, seq_old=None, seq_new=None) -> DataFrame:
+    col = lambda c, kind: (c if isinstance(c, Column) else F.lit(c)).cast(kind)
+    values = {"type": (type_, "string"), "category": (category, "string"), "severity": (severity, "string"), "confidence": (confidence, "double"), "text": (text, "string"), "role": (role, "string"), "href": (href, "string"), "landmark": (landmark, "string"), "seq_old": (seq_old, "int"), "seq_new": (seq_new, "int"), "emit_ord": (order, "int")}
+    return frame.select("page_id", *(col(c, kind).alias(name) for name, (c, kind) in values.items()))
+
+
+def status_mismatch(meta: DataFrame) -> DataFrame:
+    ok = lambda c: (c >= 200) & (c < 300)
+    return _issue(meta.where(ok(F.col("o_status")) & ~ok(F.col("n_status"))), "status_code_mismatch", "technical", "critical", STATUS, 1)
+
+
+def hygiene(meta: DataFrame, languages: list[str], regions: list[str]) -> list[DataFrame]:
+    old, new = F.col("o_url"), F.col("n_url")
+    down = meta.where((urls.scheme(old) == "https") & (urls.scheme(new) == "http"))
+    place = meta.withColumn("l", locales.detect(urls.path(new), languages, regions))
+    issue = lambda f, t, n: _issue(f, t, "hygiene", "error", HYGIENE, n)
+    return [
+        issue(meta.where(urls.slash_violation(new)), "url_trailing_slash", 2),
+        _issue(down, "url_protocol_downgrade", "hygiene", F.when(urls.is_loopback(new), "info").otherwise("error"), HYGIENE, 3),
+        issue(place.where("l.separator_invalid"), "locale_separator_invalid", 4),
+        issue(place.where("l.case_invalid"), "locale_case_invalid", 5),
+        issue(place.where("l.unknown"), "locale_unknown", 6),
+    ]
+
+
+def page_facts(meta: DataFrame) -> list[DataFrame]:
+    out = []
+    for i, name in enumerate(("title", "meta_description")):
+        old, new = F.col(f"o_{name}"), F.col(f"n_{name}")
+        kind = F.when(new == "", f"missing_{name}").otherwise(f"changed_{name}")
+        out.append(_issue(meta.where((old != "") & (old != new)), kind, "content", "error", PAGE_FACT, 10 + i, text=old))
+    return out
+
+
+def headings(old: DataFrame, new: DataFrame) -> list[DataFrame]:
+    """A page whose h1 is gone; else the first h1 of either side compared."""
+    first = lambda nodes: nodes.where("kind = 'heading' and level = 1").groupBy("page_id").agg(F.min(F.struct("seq", "text")).alias("h"))
+    joined = first(old).alias("o").join(first(new).alias("n"), "page_id", "left").select("page_id", F.col("o.h").alias("o"), F.col("n.h").alias("n"))
+    gone, changed = joined.where("n is null"), joined.where("n is not null and o.text <> n.text")
+    return [
+        _issue(gone, "missing_h1", "content", "error", PAGE_FACT, 20, text=F.col("o.text"), role="heading", seq_old=F.col("o.seq")),
+        _issue(changed, "changed_h1", "content", "error", PAIR, 21, text=F.col("n.text"), role="heading", seq_old=F.col("o.seq"), seq_new=F.col("n.seq")),
+    ]
+
+
+def missing_nodes(missing: DataFrame) -> DataFrame:
+    """Old nodes without a partner; those in page chrome with less confidence."""
+    chrome = F.col("landmark").isin("banner", "navigation", "contentinfo")
+    confidence = MISSING * F.when(F.coalesce(chrome, F.lit(False)), CHROME).otherwise(1.0)
+    kind = F.when(F.col("kind") == "link", "missing_link").otherwise("missing_text")
+    rows = missing.where("kind in ('link', 'text')")
+    return _issue(rows, kind, "content", "error", F.round(confidence * 10000) / 10000, 30, text=F.col("text"), role=F.col("kind"), href=F.col("href"), landmark=F.col("landmark"), seq_old=F.col("seq"))
+
+
+def detect(old_meta: DataFrame, new_meta: DataFrame, old_nodes: DataFrame, new_nodes: DataFrame, languages: list[str], regions: list[str], viewport: str = "desktop") -> DataFrame:
+    """All issues of many page pairs, with ids and fix values, after the short circuit."""
+    side = lambda m, s: m.select("page_id", *(F.col(c).alias(f"{s}_{c}") for c in m.columns if c != "page_id"))
+    meta = side(old_meta, "o").join(side(new_meta, "n"), "page_id")
+    old, new = matching.keyed(old_nodes), matching.keyed(new_nodes)
+    missing = matching.unpaired(old, matching.unique_pairs(old, new), "old_id")
+    parts = [status_mismatch(meta), *hygiene(meta, languages, regions), *page_facts(meta), *headings(old_nodes, new_nodes), missing_nodes(missing)]
+    issues = assemble.short_circuit(reduce(DataFrame.unionByName, parts), BY)
+    null = F.lit(None).cast("string")
+    c = F.col
+    named = issues.withColumn("id", assemble.issue_id(c("type"), F.lit(viewport), c("text"), c("role"), c("href"), null, null, c("landmark"), null, null))
+    named = named.withColumn("fix_value", assemble.fix_value(c("severity"), c("confidence"), assemble.strength(c("text"), c("href"), c("landmark"))))
+    return assemble.suffixed(named, BY)

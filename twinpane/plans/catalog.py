@@ -1,11 +1,380 @@
-"""The queries of the library over the driver's tables, with their SQL."""
+"""The queries of the library over the driver's tables, each with DuckDB SQL that gives the same rows.
+
+A query is named after the operator it shows; all read whole tables.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import locales, text, urls
+from ..operators import assemble, detect, matching, sequence
+from . import pairs
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, sides: bool = False) -> Callable[[Query], Query]:
+    """Registers a query; sides: its SQL reads the CTEs of page pairs."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = (pairs.SQL if sides else "") + sql
+        return f
 
-def queries() -> dict:
-    return {}
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    languages, regions = locales.known_codes(spark)
+    return detect.detect(*pairs.meta(spark, sf_dir), *pairs.nodes(spark, sf_dir), languages, regions)
+
+
+def _keyed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    old, new = pairs.nodes(spark, sf_dir)
+    return matching.keyed(old), matching.keyed(new)
+
+
+@query("SELECT page_id, type, severity, confidence, text, landmark, id, fix_value FROM issues WHERE type = 'missing_link'", sides=True)
+def slice_missing_link_issues(spark, sf_dir):
+    """Links of the old pages that are missing from the new ones, as issues."""
+    return _issues(spark, sf_dir).where("type = 'missing_link'").select("page_id", "type", "severity", "confidence", "text", "landmark", "id", "fix_value")
+
+
+@query("SELECT 'old' AS side, page_id, kind, seq, text, href, level, landmark FROM old_nodes UNION ALL SELECT 'new', page_id, kind, seq, text, href, level, landmark FROM new_nodes", sides=True)
+def s06_page_nodes(spark, sf_dir):
+    old, new = pairs.nodes(spark, sf_dir)
+    return old.select(F.lit("old").alias("side"), "*").unionByName(new.select(F.lit("new").alias("side"), "*"))
+
+
+@query("SELECT * FROM new_meta", sides=True)
+def s07_page_metadata(spark, sf_dir):
+    return pairs.meta(spark, sf_dir)[1]
+
+
+@query("SELECT n_nationkey, n_name FROM nation n WHERE NOT EXISTS (FROM region r WHERE r.r_regionkey = n.n_regionkey AND r.r_name IN ('ASIA', 'EUROPE'))")
+def s04_closed_vocabulary(spark, sf_dir):
+    """Entries outside a closed vocabulary, by anti-join."""
+    allowed = pairs.table(spark, sf_dir, "region").where("r_name in ('ASIA', 'EUROPE')")
+    nation = pairs.table(spark, sf_dir, "nation")
+    return nation.join(allowed, nation.n_regionkey == allowed.r_regionkey, "left_anti").select("n_nationkey", "n_name")
+
+
+@query("SELECT page_id, url FROM (SELECT page_id, url, row_number() OVER (PARTITION BY regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) ORDER BY url, page_id) AS n FROM pages) WHERE n <= 50")
+def s11_probe_plan(spark, sf_dir):
+    """The first 50 URLs of a host, by URL."""
+    p = pairs.table(spark, sf_dir, "pages")
+    n = F.row_number().over(Window.partitionBy(urls.authority(F.col("url"))).orderBy("url", "page_id"))
+    return p.withColumn("n", n).where("n <= 50").select("page_id", "url")
+
+
+@query("SELECT page_id, kind, seq, last_value(CASE WHEN kind = 'heading' THEN text END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY seq) AS nearest_heading FROM old_nodes", sides=True)
+def e05_nearest_heading(spark, sf_dir):
+    w = Window.partitionBy("page_id").orderBy("seq")
+    return pairs.nodes(spark, sf_dir)[0].select("page_id", "kind", "seq", F.last(F.when(F.col("kind") == "heading", F.col("text")), ignorenulls=True).over(w).alias("nearest_heading"))
+
+
+@query("SELECT page_id, seq, row_number() OVER (PARTITION BY page_id, landmark, kind, text ORDER BY seq) AS ordinal FROM old_nodes WHERE landmark IS NOT NULL", sides=True)
+def e06_ordinal_in_landmark(spark, sf_dir):
+    w = Window.partitionBy("page_id", "landmark", "kind", "text").orderBy("seq")
+    return pairs.nodes(spark, sf_dir)[0].where("landmark is not null").select("page_id", "seq", F.row_number().over(w).cast("long").alias("ordinal"))
+
+
+@query("SELECT page_id, array_to_string(list_sort(list_distinct(list(landmark))), ',') AS landmarks, count(*) FILTER (level <= 3) AS headings, count(DISTINCT landmark) AS n_landmarks FROM new_nodes GROUP BY page_id", sides=True)
+def e09_e14_landmark_set_and_inventory(spark, sf_dir):
+    return pairs.nodes(spark, sf_dir)[1].groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_set("landmark")), ",").alias("landmarks"), F.count_if(F.col("level") <= 3).alias("headings"), F.countDistinct("landmark").alias("n_landmarks"))
+
+
+@query("SELECT page_id, node_id, block, key FROM old_keyed", sides=True)
+def p01_p02_block_and_exact_key(spark, sf_dir):
+    return _keyed(spark, sf_dir)[0].select("page_id", "node_id", "block", "key")
+
+
+@query("SELECT page_id, user_id, status FROM (SELECT event_id AS page_id, user_id, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status FROM events) WHERE status >= 400")
+def p05_failing_requests(spark, sf_dir):
+    e = pairs.table(spark, sf_dir, "events")
+    status = F.when(F.col("event_type") == "error", 500).otherwise(200)
+    return e.select(F.col("event_id").alias("page_id"), "user_id", status.alias("status")).where("status >= 400")
+
+
+@query("SELECT * FROM pairs", sides=True)
+def j01_unique_key_match(spark, sf_dir):
+    return matching.unique_pairs(*_keyed(spark, sf_dir))
+
+
+@query("SELECT page_id, node_id, block, key, text, landmark FROM missing", sides=True)
+def j05_missing_old(spark, sf_dir):
+    old, new = _keyed(spark, sf_dir)
+    return matching.unpaired(old, matching.unique_pairs(old, new), "old_id").select("page_id", "node_id", "block", "key", "text", "landmark")
+
+
+@query("SELECT page_id, node_id, block, key, text, landmark FROM added", sides=True)
+def j06_added_new(spark, sf_dir):
+    old, new = _keyed(spark, sf_dir)
+    return matching.unpaired(new, matching.unique_pairs(old, new), "new_id").select("page_id", "node_id", "block", "key", "text", "landmark")
+
+
+_SCORED = r"""
+, scored AS (
+  SELECT o.page_id, o.block, o.node_id AS old_id, n.node_id AS new_id, 0.55 * (o.href = n.href)::INT + 0.45 * (o.text = n.text)::INT AS score
+  FROM missing o JOIN added n ON o.page_id = n.page_id AND o.block = n.block
+), ranked AS (
+  SELECT *, row_number() OVER a AS ro, score - coalesce(lead(score) OVER a, '-infinity'::DOUBLE) AS go, row_number() OVER b AS rn, score - coalesce(lead(score) OVER b, '-infinity'::DOUBLE) AS gn
+  FROM scored WINDOW a AS (PARTITION BY page_id, block, old_id ORDER BY score DESC, new_id), b AS (PARTITION BY page_id, block, new_id ORDER BY score DESC, old_id)
+)
+SELECT page_id, block, old_id, new_id, CAST(score AS DOUBLE) AS score FROM ranked WHERE ro = 1 AND rn = 1 AND score >= 0.4 AND go >= 0.05 AND gn >= 0.05
+"""
+
+
+@query(_SCORED, sides=True)
+def j02_j03_candidates_and_mutual_best(spark, sf_dir):
+    """What keys don't pair: each other's clear best by equal reference and text."""
+    old, new = _keyed(spark, sf_dir)
+    paired = matching.unique_pairs(old, new)
+    same = lambda c: (F.col(f"o.{c}") == F.col(f"n.{c}")).cast("int")
+    score = 0.55 * same("href") + 0.45 * same("text")
+    scored = matching.candidates(matching.unpaired(old, paired, "old_id"), matching.unpaired(new, paired, "new_id"), score)
+    return matching.mutual_best(scored, floor=0.4)
+
+
+@query()
+def j04_assignment(spark, sf_dir):
+    """One-to-one assignment of the remaining nodes by text similarity; tested against all permutations."""
+    old, new = _keyed(spark, sf_dir)
+    paired = matching.unique_pairs(old, new)
+    score = text.text_sim(F.col("o.text"), F.col("n.text"))
+    return matching.assign(matching.candidates(matching.unpaired(old, paired, "old_id"), matching.unpaired(new, paired, "new_id"), score))
+
+
+@query("SELECT o.user_id, min(o.event_id) AS first_event FROM events o WHERE o.event_type = 'error' AND o.event_id % 2 = 1 AND NOT EXISTS (FROM events p WHERE p.user_id = o.user_id AND p.event_type = 'error' AND p.event_id % 2 = 0) GROUP BY 1")
+def j15_new_failures_first_per_key(spark, sf_dir):
+    """Failures of the new side (odd ids) whose key never failed on the old one; the first of each."""
+    e = pairs.table(spark, sf_dir, "events").where("event_type = 'error'")
+    old, new = e.where("event_id % 2 = 0").select("user_id"), e.where("event_id % 2 = 1")
+    return new.join(old, "user_id", "left_anti").groupBy("user_id").agg(F.min("event_id").alias("first_event"))
+
+
+_TEXTS = "SELECT concat_ws(':', props, CAST(user_id AS VARCHAR)) AS text, event_id FROM events WHERE event_type = 'error'"
+
+
+@query(f"WITH texts AS ({_TEXTS}) SELECT text, count(*) AS n, min(event_id) AS first_event FROM texts WHERE event_id % 2 = 1 AND text NOT IN (SELECT text FROM texts WHERE event_id % 2 = 0) GROUP BY 1")
+def j25_new_console_texts(spark, sf_dir):
+    """Set difference of error texts."""
+    e = pairs.table(spark, sf_dir, "events").where("event_type = 'error'").select(F.concat_ws(":", "props", F.col("user_id").cast("string")).alias("text"), "event_id")
+    return e.where("event_id % 2 = 1").join(e.where("event_id % 2 = 0").select("text"), "text", "left_anti").groupBy("text").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
+
+
+@query("SELECT page_id, landmark, o, n, delta FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY abs(delta) DESC, landmark) AS r FROM (SELECT page_id, landmark, coalesce(o, 0) AS o, coalesce(n, 0) AS n, coalesce(n, 0) - coalesce(o, 0) AS delta FROM (SELECT page_id, coalesce(landmark, '(none)') AS landmark, count(*) AS o FROM old_nodes GROUP BY ALL) FULL JOIN (SELECT page_id, coalesce(landmark, '(none)') AS landmark, count(*) AS n FROM new_nodes GROUP BY ALL) USING (page_id, landmark)) WHERE delta <> 0) WHERE r <= 8", sides=True)
+def j22_section_deltas(spark, sf_dir):
+    """Full outer join of sections; the eight largest changes of a page."""
+    old, new = (assemble.landmark_counts(x, ["page_id"]) for x in pairs.nodes(spark, sf_dir))
+    both = old.withColumnRenamed("nodes", "o").join(new.withColumnRenamed("nodes", "n"), ["page_id", "landmark"], "full_outer").fillna(0, ["o", "n"])
+    delta = both.withColumn("delta", F.col("n") - F.col("o")).where("delta <> 0")
+    w = Window.partitionBy("page_id").orderBy(F.desc(F.abs("delta")), "landmark")
+    return delta.withColumn("r", F.row_number().over(w)).where("r <= 8").drop("r")
+
+
+@query("SELECT l_orderkey, l_linenumber, o.l_quantity AS old_quantity, n.l_quantity AS new_quantity FROM (SELECT * FROM lineitem WHERE l_linenumber <> 7) o FULL JOIN (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 5 = 0 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity FROM lineitem WHERE l_linenumber <> 1) n USING (l_orderkey, l_linenumber) WHERE o.l_quantity IS DISTINCT FROM n.l_quantity")
+def j24_side_by_side(spark, sf_dir):
+    """Property rows of two sides, full outer, only those that differ."""
+    li = pairs.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    old = li.where("l_linenumber <> 7").withColumnRenamed("l_quantity", "old_quantity")
+    new = li.where("l_linenumber <> 1").select("l_orderkey", "l_linenumber", F.when(F.col("l_orderkey") % 5 == 0, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")).alias("new_quantity"))
+    return old.join(new, ["l_orderkey", "l_linenumber"], "full_outer").where(~F.col("old_quantity").eqNullSafe(F.col("new_quantity")))
+
+
+@query("SELECT page_id, id FROM issues WHERE id NOT IN (SELECT id FROM issues WHERE page_id % 3 = 0)", sides=True)
+def j23_baseline_kept(spark, sf_dir):
+    issues = _issues(spark, sf_dir)
+    return assemble.baseline_split(issues, issues.where("page_id % 3 = 0").select("id"))[0].select("page_id", "id")
+
+
+@query("SELECT page_id, coalesce(landmark, '(none)') AS landmark, count(*) AS nodes FROM old_nodes GROUP BY ALL", sides=True)
+def a01_landmark_node_counts(spark, sf_dir):
+    return assemble.landmark_counts(pairs.nodes(spark, sf_dir)[0], ["page_id"])
+
+
+_SCORE = "1.0 / (1 + count(*) FILTER (category = '{0}' AND severity <> 'info')) AS {0}"
+_SCORES = "{}, {}, {}, CASE WHEN count(*) FILTER (type = 'status_code_mismatch') > 0 THEN 0.0 ELSE 1.0 / (1 + count(*) FILTER (category = 'technical' AND severity <> 'info')) END::DOUBLE AS technical, {}".format(*(_SCORE.format(c).replace(" AS", "::DOUBLE AS").replace("1.0 / (", "(1.0 / (").replace("::DOUBLE", ")::DOUBLE") for c in ("content", "structure", "style", "hygiene")))
+
+
+@query(f"SELECT page_id, {_SCORES} FROM issues GROUP BY page_id", sides=True)
+def a02_category_scores(spark, sf_dir):
+    return assemble.category_scores(_issues(spark, sf_dir), ["page_id"])
+
+
+@query(f"SELECT coalesce(landmark, '(none)') AS landmark, {_SCORES} FROM issues GROUP BY 1", sides=True)
+def a03_landmark_scores(spark, sf_dir):
+    return assemble.category_scores(_issues(spark, sf_dir).withColumn("landmark", F.coalesce("landmark", F.lit("(none)"))), ["landmark"])
+
+
+_REGIONS = r"""
+, sited AS (SELECT regexp_extract(p.url, '^[a-z]+://([^/?#]*)', 1) AS site, p.page_id FROM old_pages p),
+counts AS (SELECT site, coalesce(landmark, '(none)') AS landmark, count(*) AS nodes FROM old_nodes JOIN sited USING (page_id) GROUP BY ALL),
+owned AS (SELECT site, i.* REPLACE (site || '/' || i.page_id || '/' || id AS id) FROM issues i JOIN sited USING (page_id)),
+found AS (
+  SELECT site, landmark, count(*) FILTER (type IN ('missing_title', 'missing_h1', 'missing_text', 'missing_link')) AS structural,
+    max(list_position(['info', 'warning', 'error', 'critical'], severity)) AS worst, list_sort(list(id)) AS members FROM owned WHERE landmark IN ('banner', 'complementary', 'contentinfo', 'form', 'main', 'navigation') GROUP BY ALL
+),
+regions AS (
+  SELECT *, CAST(structural AS DOUBLE) / greatest(nodes, structural) AS saturation, ['info', 'warning', 'error', 'critical'][worst] AS severity FROM found JOIN counts USING (site, landmark)
+  WHERE CAST(structural AS DOUBLE) / greatest(nodes, structural) >= {least} AND nodes >= 10
+),
+clusters AS (
+  SELECT site, type, landmark, list_sort(list(id)) AS members, count(*) AS n FROM owned o
+  WHERE landmark <> '' AND NOT EXISTS (FROM (SELECT site, unnest(members) AS id FROM regions) r WHERE r.site = o.site AND r.id = o.id) GROUP BY ALL HAVING count(*) >= 3
+)
+"""
+_LEAST = "0.2"
+
+
+def _by_site(spark, sf_dir):
+    sites = pairs.old_pages(spark, sf_dir).select("page_id", urls.authority(F.col("url")).alias("site"))
+    issues = _issues(spark, sf_dir).join(sites, "page_id").withColumn("id", F.concat_ws("/", "site", "page_id", "id"))
+    counts = assemble.landmark_counts(pairs.nodes(spark, sf_dir)[0].join(sites, "page_id"), ["site"])
+    return issues, assemble.regions(issues, counts, ["site"], float(_LEAST))
+
+
+@query(_REGIONS.replace("{least}", _LEAST) + "SELECT site, landmark, structural, nodes, saturation, severity, array_to_string(members, ',') AS members, 'region_' || substr(sha256('region' || chr(31) || landmark), 1, 12) AS id FROM regions", sides=True)
+def a06_region_saturation(spark, sf_dir):
+    """Landmarks of a site of which a large share of the old nodes changed (here from a fifth)."""
+    return _by_site(spark, sf_dir)[1].withColumn("members", F.array_join("members", ","))
+
+
+@query(_REGIONS.replace("{least}", _LEAST) + "SELECT site, type, landmark, array_to_string(members, ',') AS members, CAST(n AS INT) AS n FROM clusters", sides=True)
+def a05_landmark_clusters(spark, sf_dir):
+    issues, regions = _by_site(spark, sf_dir)
+    claimed = regions.select("site", F.explode("members").alias("id"))
+    return assemble.clusters(issues, claimed, ["site"]).withColumn("members", F.array_join("members", ","))
+
+
+@query("SELECT type, severity, count(*) AS n FROM issues GROUP BY ALL", sides=True)
+def a07_type_histogram(spark, sf_dir):
+    return _issues(spark, sf_dir).groupBy("type", "severity").agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, CASE WHEN max(r) >= 3 THEN 'fail' WHEN max(r) = 2 THEN 'warn' ELSE 'pass' END AS status, CASE WHEN max(r) >= 3 THEN 1 ELSE 0 END AS exit_code FROM (SELECT page_id, list_position(['info', 'warning', 'error', 'critical'], severity) AS r FROM issues) GROUP BY page_id", sides=True)
+def a09_p22_status_and_exit_code(spark, sf_dir):
+    rank = assemble.severity_rank(F.col("severity"))
+    found = _issues(spark, sf_dir).groupBy("page_id").agg(F.max(rank).alias("rank"))
+    return found.select("page_id", assemble.status(F.col("rank")).alias("status"), assemble.exit_code(F.col("rank")).alias("exit_code"))
+
+
+@query("SELECT page_id, id, fix_value, r AS place FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY round(fix_value, 9) DESC, id) AS r FROM issues) WHERE r <= 5", sides=True)
+def o01_o02_top_fixes(spark, sf_dir):
+    """The five issues of each page that are worth most."""
+    w = Window.partitionBy("page_id").orderBy(F.desc(F.round("fix_value", 9)), "id")
+    return _issues(spark, sf_dir).withColumn("place", F.row_number().over(w).cast("long")).where("place <= 5").select("page_id", "id", "fix_value", "place")
+
+
+@query("SELECT page_id, type, id, category, severity, emit_ord FROM issues", sides=True)
+def u01_u03_w08_all_issues(spark, sf_dir):
+    """The union of all detectors after the short circuit, with collision suffixes."""
+    return _issues(spark, sf_dir).select("page_id", "type", "id", "category", "severity", "emit_ord")
+
+
+_TURNS = r"""
+WITH moved AS (
+  SELECT conv_id AS grp, turn AS id, turn AS old_pos, CASE WHEN conv_id % 3 = 0 AND turn IN (0, 1) THEN 1 - turn WHEN conv_id % 3 = 1 THEN -turn ELSE turn END AS new_pos FROM conversations
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY old_pos, id) - 1 AS old_rank, row_number() OVER (PARTITION BY grp ORDER BY new_pos, id) - 1 AS new_rank FROM moved
+), blocked AS (
+  SELECT *, sum(s) OVER (PARTITION BY grp ORDER BY old_rank ROWS UNBOUNDED PRECEDING) - 1 AS block
+  FROM (SELECT *, CASE WHEN new_rank = lag(new_rank) OVER (PARTITION BY grp ORDER BY old_rank) + 1 THEN 0 ELSE 1 END AS s FROM ranked)
+), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY new_start, old_start) - 1 AS sigma
+  FROM (SELECT grp, CAST(block AS BIGINT) AS block, count(*) AS size, min(old_rank) AS old_start, min(new_rank) AS new_start FROM blocked GROUP BY grp, block)
+)
+"""
+
+
+def _moved(spark, sf_dir):
+    conv, turn = F.col("conv_id"), F.col("turn")
+    new = F.when((conv % 3 == 0) & turn.isin(0, 1), 1 - turn).when(conv % 3 == 1, -turn).otherwise(turn)
+    return sequence.ranks(pairs.table(spark, sf_dir, "conversations").select(conv.alias("grp"), turn.alias("id"), turn.alias("old_pos"), new.alias("new_pos")))
+
+
+@query(_TURNS + "SELECT grp, id, CAST(old_rank AS INT) AS old_rank, CAST(new_rank AS INT) AS new_rank, CAST(block AS BIGINT) AS block FROM blocked")
+def w02_w03_ranks_and_blocks(spark, sf_dir):
+    return sequence.blocks(_moved(spark, sf_dir)).select("grp", "id", "old_rank", "new_rank", "block")
+
+
+@query(_TURNS + "SELECT grp, block, size, CAST(old_start AS INT) AS old_start, CAST(new_start AS INT) AS new_start, CAST(sigma AS INT) AS sigma FROM ordered")
+def w04_block_order(spark, sf_dir):
+    return sequence.block_order(sequence.blocks(_moved(spark, sf_dir)))
+
+
+@query(_TURNS + "SELECT a.grp, a.block AS first_block, b.block AS second_block FROM ordered a JOIN ordered b ON a.grp = b.grp AND a.sigma = b.block AND b.sigma = a.block AND a.block < b.block")
+def w05_swaps(spark, sf_dir):
+    return sequence.swaps(sequence.block_order(sequence.blocks(_moved(spark, sf_dir))))
+
+
+@query()
+def w06_longest_increasing_blocks(spark, sf_dir):
+    """The blocks that kept their order; tested against all subsequences."""
+    return sequence.stable_blocks(sequence.block_order(sequence.blocks(_moved(spark, sf_dir))))
+
+
+_LOW_TOKENS = "list_distinct(list_filter(string_split_regex(" + pairs.LOW.format("{}") + ", '[ \\t\\n\\r\\f\\v]+'), lambda t: t <> ''))"
+
+
+@query("SELECT x.doc_id, CAST(levenshtein(substr(x.text, 1, 200), substr(y.text, 1, 200)) AS INT) AS distance, CASE WHEN len(list_distinct(list_concat(tx, ty))) = 0 THEN 1.0 ELSE len(list_intersect(tx, ty))::DOUBLE / len(list_distinct(list_concat(tx, ty))) END AS jaccard FROM (SELECT *, " + _LOW_TOKENS.format("text") + " AS tx FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')) x JOIN (SELECT *, " + _LOW_TOKENS.format("text") + " AS ty FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')) y ON y.doc_id = x.doc_id + 1")
+def f02_f03_jaccard_and_edit_distance(spark, sf_dir):
+    """Neighbouring ASCII documents (the SQL engine's distance counts bytes)."""
+    docs = pairs.table(spark, sf_dir, "documents").where("not text rlike '[^\\\\x00-\\\\x7F]'")
+    x, y = docs.alias("x"), docs.alias("y")
+    a, b = F.col("x.text"), F.col("y.text")
+    joined = x.join(y, F.col("y.doc_id") == F.col("x.doc_id") + 1)
+    return joined.select("x.doc_id", F.levenshtein(F.substring(a, 1, 200), F.substring(b, 1, 200)).alias("distance"), text.token_jaccard(a, b).alias("jaccard"))
+
+
+@query("SELECT doc_id, substr(trim(regexp_replace(regexp_replace(replace(text, chr(160), ' '), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{9F}]', '', 'g'), '[ \\t\\n\\r]+', ' ', 'g')), 1, 500) AS normal FROM documents")
+def f15_normalize_text(spark, sf_dir):
+    return pairs.table(spark, sf_dir, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("normal"))
+
+
+@query("SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+):', 1)) || '://' || regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS origin, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*([?][^#]*)', 1) AS query, regexp_extract(url, '([^/?#]*)(?:[?#].*)?$', 1) AS file, regexp_replace(url, '[?#].*$', '') AS stable, regexp_replace(regexp_replace(url, '#.*$', ''), '^([^?]*[^/?])/+([?].*)?$', '\\1\\2') AS compared FROM pages")
+def f26_f34_url_parts(spark, sf_dir):
+    u = F.col("url")
+    return pairs.table(spark, sf_dir, "pages").select("page_id", urls.origin(u).alias("origin"), urls.path(u).alias("path"), urls.query(u).alias("query"), urls.file_name(u).alias("file"), urls.id_stable_url(u).alias("stable"), urls.normalize_for_compare(u).alias("compared"))
+
+
+@query("SELECT p.page_id, seq, href, regexp_extract(p.url, '^([a-z]+://[^/?#]*)', 1) || href AS resolved, href AS normal FROM old_nodes n JOIN old_pages p USING (page_id) WHERE kind = 'link' AND starts_with(href, '/') AND NOT starts_with(href, '//') AND NOT contains(href, '#')", sides=True)
+def f27_resolved_links(spark, sf_dir):
+    n, p = pairs.nodes(spark, sf_dir)[0], pairs.old_pages(spark, sf_dir).select("page_id", "url")
+    h, u = F.col("href"), F.col("url")
+    rows = n.join(p, "page_id").where("kind = 'link' and startswith(href, '/') and not startswith(href, '//') and not contains(href, '#')")
+    return rows.select("page_id", "seq", "href", urls.resolve(h, u).alias("resolved"), urls.norm_href(h, u).alias("normal"))
+
+
+@query("SELECT page_id, regexp_replace(url, '([?&])(ref|page)=[^&#]*', '\\1\\2=gone', 'g') AS seen, regexp_matches(url, '[?&](token|key)=') AS leaks FROM pages")
+def f36_p23_redacted_urls(spark, sf_dir):
+    u = F.col("url")
+    return pairs.table(spark, sf_dir, "pages").select("page_id", urls.redact(u, ["ref", "page"], "gone").alias("seen"), urls.has_credential(u).alias("leaks"))
+
+
+@query("SELECT page_id, seg AS segment, sep AND contains(seg, '_') AS separator_invalid, lg <> lower(lg) OR (sep AND rg <> upper(rg)) AS case_invalid, sep AND NOT (lower(lg) IN ('en', 'fr', 'de', 'es') AND upper(rg) IN ('US')) AS unknown, CASE WHEN sep THEN lower(lg) || '-' || upper(rg) ELSE lower(seg) END AS corrected FROM locale", sides=True)
+def f37_locale_validation(spark, sf_dir):
+    codes = locales.known_codes(spark)
+    found = pairs.meta(spark, sf_dir)[1].select("page_id", locales.detect(urls.path(F.col("url")), *codes).alias("l"))
+    return found.where("l is not null").select("page_id", "l.*")
+
+
+@query("SELECT page_id, substr(html, 1, 300) AS raw, replace(replace(replace(replace(replace(substr(html, 1, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS safe FROM pages")
+def f24_escaped_evidence(spark, sf_dir):
+    raw = F.substring("html", 1, 300)
+    return pairs.table(spark, sf_dir, "pages").select("page_id", raw.alias("raw"), text.escape_html(raw).alias("safe"))

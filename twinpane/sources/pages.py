@@ -1,0 +1,44 @@
+"""Page scan: nodes and metadata of raw HTML pages with regular expressions, JVM-side.
+
+Without a layout engine there is no geometry, computed style or visibility; those channels are read from captures.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+LINK = '<a href="([^"]*)">([^<]*)</a>'
+HEADING = "<h([1-6])>([^<]*)</h[1-6]>"
+
+
+def inner(html: Column, tag: str) -> Column:
+    return F.regexp_extract(html, f"(?s)<{tag}[^>]*>(.*?)</{tag}>", 1)
+
+
+def metadata(pages: DataFrame) -> DataFrame:
+    """(page_id, url, title, meta_description, canonical, lang, status) of (page_id, url, html[, status])."""
+    html = F.col("html")
+    status = F.col("status") if "status" in pages.columns else F.lit(200)
+    return pages.select(
+        "page_id",
+        "url",
+        F.trim(inner(html, "title")).alias("title"),
+        F.regexp_extract(html, '<meta name="description" content="([^"]*)"', 1).alias("meta_description"),
+        F.regexp_extract(html, '<link rel="canonical" href="([^"]*)"', 1).alias("canonical"),
+        F.regexp_extract(html, '<html lang="([^"]*)"', 1).alias("lang"),
+        status.alias("status"),
+    )
+
+
+def nodes(pages: DataFrame) -> DataFrame:
+    """(page_id, kind, seq, text, href, level, landmark): links of the navigation, headings, footer and side texts."""
+    html = F.col("html")
+    pairs = lambda p: F.arrays_zip(F.regexp_extract_all(html, F.lit(p), F.lit(1)).alias("a"), F.regexp_extract_all(html, F.lit(p), F.lit(2)).alias("b"))
+    null = lambda t: F.lit(None).cast(t)
+    node = lambda kind, seq, text, href, level, landmark: F.struct(F.lit(kind).alias("kind"), seq.cast("int").alias("seq"), text.alias("text"), href.alias("href"), level.cast("int").alias("level"), F.lit(landmark).cast("string").alias("landmark"))
+    links = F.transform(pairs(LINK), lambda x, i: node("link", i + 10, x["b"], x["a"], null("int"), "navigation"))
+    headings = F.transform(pairs(HEADING), lambda x, i: node("heading", i + 1000, x["b"], null("string"), x["a"], None))
+    texts = lambda p, seq, landmark: F.transform(F.regexp_extract_all(html, F.lit(p), F.lit(1)), lambda x, i: node("text", i + seq, x, null("string"), null("int"), landmark))
+    every = F.concat(texts('<div class="ad">([^<]*)', 0, None), links, headings, texts("<footer>([^<]*)", 2000, "contentinfo"))
+    return pages.select("page_id", F.explode(every).alias("n")).select("page_id", "n.*")
