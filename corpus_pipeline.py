@@ -28,11 +28,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id (of rows with that id, one)."""
+    """One document of each group of near duplicates: the one with the smallest id; rows that repeat it whole go too."""
     found = near_duplicates(docs)
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     kept = docs.alias("d").join(first.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    return kept.dropDuplicates(["doc_id", "text"])
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
