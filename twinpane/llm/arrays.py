@@ -80,7 +80,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20):
     """Consecutive slices of a batch whose text takes about `limit` bytes; one longer text is a slice of its own."""
     size = _lengths(batch.column(column))
     ends = np.cumsum(size)

@@ -66,7 +66,7 @@ def _long(data: bytes) -> int:
     return int.from_bytes(data[:8], "little", signed=True)
 
 
-def _heavy(text: str, size: int, held_most: int = 2 << 20):
+def _heavy(text: str, size: int, held_most: int = 1 << 20):
     """Shingles that stand in two documents at least of one chunk of a task, with their counts there."""
 
     def out(held):
@@ -107,7 +107,7 @@ def hot_shingles(docs: DataFrame, text: str, size: int) -> tuple[np.ndarray, np.
 
 def _profiles(text: str, row_id: str, size: int, percent: int, hot):
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, text)):
             tok, df = hot.value
             rows = []
             for hashes in sets_of(batch, text, size):
@@ -269,7 +269,7 @@ def bounded(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
 
 def _verified(size: int, percent: int):
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(i, 400) for whole in batches for i in range(0, whole.num_rows, 400)):
             sets = [list(sets_of(batch, c, size)) for c in ("ta", "tb")]
             signs = [batch.column(c).to_pylist() for c in ("sa", "sb")]
             keep = []

@@ -97,7 +97,7 @@ def _tally(hashes: np.ndarray, langs: np.ndarray, weights: np.ndarray, order: in
 
 
 class _Learner:
-    """Sums of a task, with at most about a million entries held."""
+    """Sums of a task, with at most about half a million entries held."""
 
     def __init__(self, codes: dict[str, int]):
         self.codes, self.held = codes, {}
@@ -189,9 +189,9 @@ def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", word_share
     def count(batches):
         held = _Learner(codes)
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
+            for batch in slices(whole, "text", 1 << 19):
                 held.add(batch.column("text").to_pylist(), batch.column("lang").to_pylist())
-                if held.size() > 1_000_000:
+                if held.size() > 500_000:
                     yield from held.rows()
         yield from held.rows()
 
@@ -223,7 +223,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: list[st
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, text, 1 << 20):
+            for batch in slices(whole, text, 1 << 19):
                 texts = batch.column(text).to_pylist()
                 found = held.value.score(texts) if held.value.languages else ([UNDETERMINED] * len(texts), [0.0] * len(texts))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found[0], pa.string()), pa.array(found[1], pa.float64())], [*keep, *into])

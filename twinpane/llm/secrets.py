@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import slices
 from .common import map_arrow, table, without
 
 REACH = 200
@@ -132,9 +133,10 @@ def find_secrets(docs: DataFrame, *, text: str = "text", into: str = "secrets",
     keep = [c for c in (keep or docs.columns) if c != into]
     read = docs.select(*dict.fromkeys([*keep, text]))
 
-    def scan(batch: pa.RecordBatch):
-        found = [[{"kind": k, "start": s, "end": e} for s, e, k in spans_of(t.as_py(), reach)] for t in batch.column(text)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found, _KIND)], [*keep, into])
+    def scan(whole: pa.RecordBatch):
+        for batch in slices(whole, text):
+            found = [[{"kind": k, "start": s, "end": e} for s, e, k in spans_of(t.as_py(), reach)] for t in batch.column(text)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found, _KIND)], [*keep, into])
 
     schema = docs.select(*keep, F.lit(None).cast(SPANS).alias(into)).schema
     return map_arrow(read, scan, schema)
@@ -145,7 +147,11 @@ def redact(docs: DataFrame, *, text: str = "text", reach: int = REACH, mark: str
     read = docs.select(*docs.columns)
     count = "n_chars" in docs.columns
 
-    def scan(batch: pa.RecordBatch):
+    def scan(whole: pa.RecordBatch):
+        for batch in slices(whole, text):
+            yield masked(batch)
+
+    def masked(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, changed = batch.column(text).to_pylist(), False
         sizes = batch.column("n_chars").to_pylist() if count else None
         for i, old in enumerate(texts):
@@ -160,12 +166,11 @@ def redact(docs: DataFrame, *, text: str = "text", reach: int = REACH, mark: str
                 if count:
                     sizes[i] = len(texts[i])
         if not changed:
-            yield batch
-            return
+            return batch
         new = {text: pa.array(texts, batch.schema.field(text).type)}
         if count:
             new["n_chars"] = pa.array(sizes, batch.schema.field("n_chars").type)
-        yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in batch.schema.names], batch.schema.names)
+        return pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in batch.schema.names], batch.schema.names)
 
     return map_arrow(read, scan, docs.schema)
 
