@@ -83,6 +83,7 @@ def test_ids_and_suffixes(spark):
         (lambda: text.wildcard_match(lit("locale_unknown"), lit("locale_*")), True),
         (lambda: text.wildcard_match(lit("locale"), lit("locale_*")), False),
         (lambda: text.markdown_cell(lit("a|b\nc")), "a\\|b c"),
+        (lambda: text.markdown_cell(lit(" a\r\nb\n")), "a  b"),
         (lambda: text.shell_quote(lit("it's")), "'it'\\''s'"),
         (lambda: urls.origin(lit("HTTPS://Ex.com:443/a")), "https://ex.com"),
         (lambda: urls.origin(lit("http://ex.com:8080")), "http://ex.com:8080"),

@@ -119,7 +119,9 @@ def escape_html(c: Column) -> Column:
 
 
 def markdown_cell(c: Column) -> Column:
-    return F.regexp_replace(F.replace(c, F.lit("|"), F.lit("\\|")), "[\\r\\n]+", " ")
+    """A table cell: pipes escaped, each line end a space, ends trimmed."""
+    flat = F.translate(F.replace(c, F.lit("|"), F.lit("\\|")), "\r\n", "  ")
+    return F.regexp_replace(flat, "(?U)^\\s+|\\s+$", "")
 
 
 def shell_quote(c: Column) -> Column:

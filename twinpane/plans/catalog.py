@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import locales, text, urls
-from ..operators import assemble, detect, matching, sequence
+from ..operators import assemble, detect, matching, report, sequence
 from . import pairs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -378,3 +378,34 @@ def f37_locale_validation(spark, sf_dir):
 def f24_escaped_evidence(spark, sf_dir):
     raw = F.substring("html", 1, 300)
     return pairs.table(spark, sf_dir, "pages").select("page_id", raw.alias("raw"), text.escape_html(raw).alias("safe"))
+
+
+_FOLDED = r"""
+, folded AS (
+  SELECT page_id, coalesce(landmark, '(page)') AS landmark, type, coalesce(text, '') AS message, count(*) AS n, max(list_position(['info', 'warning', 'error', 'critical'], severity)) AS rank, max(round(fix_value, 9)) AS fix_value, min(id) AS ord
+  FROM issues WHERE severity <> 'critical' GROUP BY ALL
+), cells AS (
+  SELECT *, trim(replace(replace(replace(message, '|', '\|'), chr(13), ' '), chr(10), ' ')) AS cell FROM folded
+), sections AS (
+  SELECT page_id, landmark, CAST(sum(n) AS BIGINT) AS n, max(rank) AS rank, max(fix_value) AS fix_value,
+    string_agg('- [' || ['info', 'warning', 'error', 'critical'][rank] || '] ' || type || ' ×' || n || ' — ' || cell || chr(10), '' ORDER BY ord, type, message) AS lines
+  FROM cells GROUP BY page_id, landmark
+), headed AS (
+  SELECT *, '### ' || landmark || ' › — (' || n || CASE WHEN n = 1 THEN ' issue' ELSE ' issues' END || ') — show --section ''' || landmark || '''' || chr(10) AS head FROM sections
+), sized AS (SELECT *, CAST(strlen(head) + strlen(lines) AS INT) AS size FROM headed),
+placed AS (
+  SELECT *, CAST(row_number() OVER w AS INT) AS place,
+    size > {ceiling} OR sum(CASE WHEN size > {ceiling} THEN 0 ELSE size END) OVER (PARTITION BY page_id ORDER BY fix_value DESC, landmark ROWS UNBOUNDED PRECEDING) > {budget} AS collapsed
+  FROM sized WINDOW w AS (PARTITION BY page_id ORDER BY fix_value DESC, landmark)
+)
+SELECT page_id, place, landmark, n, ['info', 'warning', 'error', 'critical'][rank] AS severity, fix_value, size, collapsed, head, lines FROM placed
+"""
+_BUDGET, _CEILING = 400, 300
+
+
+@query(_FOLDED.replace("{budget}", str(_BUDGET)).replace("{ceiling}", str(_CEILING)), sides=True)
+def a19_w09_sections_within_budget(spark, sf_dir):
+    """Sections of a page by worth, in full while a budget lasts; the first place of an issue is its id here."""
+    issues = _issues(spark, sf_dir)
+    read = issues.select("page_id", "id", "type", "severity", F.coalesce("text", F.lit("")).alias("message"), "landmark", F.lit(None).cast("string").alias("heading"), F.round("fix_value", 9).alias("fix_value"), F.col("id").alias("ord"))
+    return report.outline(read, read.where("false"), ["page_id"], _BUDGET, _CEILING).drop("heading")

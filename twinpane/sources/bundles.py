@@ -83,6 +83,11 @@ def chains(bundles: DataFrame) -> DataFrame:
     return one.select(*KEY, "node_id", F.posexplode("c").alias("pos", "ancestor_id"))
 
 
+def ancestors(bundles: DataFrame) -> DataFrame:
+    """Elements above the nodes whose styles were captured: id, tag, box, depth, selector, anchors."""
+    return _items(bundles, "styleCandidates.ancestors").withColumn("bbox", _box("bbox"))
+
+
 def hit_points(bundles: DataFrame) -> DataFrame:
     """(node_id, status, idx, o, winner) of the sampled elements."""
     one = bundles.select(*_key(F.explode("hitTests").alias("node_id", "h")))
