@@ -72,11 +72,12 @@ def values_equal(a: Column, b: Column, epsilon: float = EPSILON) -> Column:
 
 
 def canonical(prop: Column, c: Column, font_size: Column) -> Column:
-    """Forms that mean the same: no border or outline, text-align by side, normal line height."""
+    """Forms that mean the same: no border or outline, text-align by side, normal line height, content without its quotes."""
     size = F.regexp_extract(font_size, f"^{_NUMBER}px$", 1)
     height = F.concat(F.regexp_replace(F.round(F.try_to_number(size, F.lit("99999.9999")).cast("double") * 1.2, 4).cast("string"), "\\.0$", ""), F.lit("px"))
     return (
         F.when(prop.rlike("^(border|outline)") & c.rlike("(^|\\s)none(\\s|$)"), "none")
+        .when(prop == "content", F.regexp_replace(F.trim(c), "(?s)^(['\"])(.*)\\1$", "$2"))
         .when((prop == "text-align") & (c == "start"), "left")
         .when((prop == "text-align") & (c == "end"), "right")
         .when((prop == "line-height") & (c == "normal") & (size != ""), height)

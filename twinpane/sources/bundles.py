@@ -14,7 +14,7 @@ NODE = f"struct<id:string,kind:string,role:string,text:string,accName:string,hre
 INVENTORY = "struct<headingCount:int,imageCount:int,landmarkCount:int>"
 DETERMINISM = f"struct<animationsDisabled:string,reducedMotion:string,timeFrozen:string,randomStubbed:string,fontsReady:string,imagesDecoded:string,lazyLoadPass:string,settled:string,settle:string,hitTestProbe:string,quiescence:string,settleScrollIneffective:boolean,settleGrowthCapped:boolean,clicked:array<string>,hidden:array<string>,masked:array<string>,retriedWithoutTimeFreeze:boolean,integrity:struct<pre:{INVENTORY},post:{INVENTORY}>>"
 PAGE = f"struct<url:string,finalUrl:string,redirectChain:array<string>,statusCode:int,title:string,metaDescription:string,canonical:string,lang:string,pageHeight:int,nodes:array<{NODE}>,landmarks:array<string>,landmarkRects:array<struct<path:string,role:string,heading:string,bbox:array<int>>>,network:struct<requests:array<struct<url:string,status:int,type:string,failed:boolean>>>,console:array<struct<level:string,text:string>>,a11y:struct<violations:array<struct<id:string,impact:string,helpUrl:string,nodes:array<struct<target:array<string>,html:string>>>>>,linkProbes:array<struct<url:string,redirectChain:array<string>,finalUrl:string,status:int,skipped:string,error:string>>>"
-BUNDLE = f"schemaVersion string, capturedAt string, viewport struct<name:string,width:int,height:int,dsf:double>, environment struct<os:string,chromiumBuild:string,playwright:string,dsf:double>, determinism {DETERMINISM}, page {PAGE}, computedStyles map<string,map<string,string>>, styleCandidates struct<ancestors:array<struct<id:string,tag:string,bbox:array<int>,depth:int,cssSelector:string,anchors:{ANCHORS}>>,chains:map<string,array<string>>,budget:int,truncated:boolean,droppedCount:int>, hitTests map<string,struct<status:string,skipReason:string,gridSize:int,points:array<struct<o:string,winner:string>>>>"
+BUNDLE = f"schemaVersion string, capturedAt string, viewport struct<name:string,width:int,height:int,dsf:double>, environment struct<os:string,chromiumBuild:string,playwright:string,dsf:double>, determinism {DETERMINISM}, page {PAGE}, computedStyles map<string,map<string,string>>, styleCandidates struct<ancestors:array<struct<id:string,tag:string,bbox:array<int>,depth:int,cssSelector:string,anchors:{ANCHORS}>>,chains:map<string,array<string>>,budget:int,truncated:boolean,droppedCount:int>, hitTests map<string,struct<status:string,skipReason:string,gridSize:int,points:array<struct<o:string,winner:string>>>>, pseudoElements map<string,struct<ownerTier:string,ownerNodeId:string,ownerSelector:string,landmark:string,before:map<string,string>,after:map<string,string>>>, pseudoTruncated string"
 KEY = ["pair_id", "viewport", "side"]
 
 
@@ -39,7 +39,7 @@ def _items(bundles: DataFrame, column: str, with_position: bool = True) -> DataF
 
 def captures(bundles: DataFrame) -> DataFrame:
     p = F.col("page")
-    return bundles.select(*_key("environment", "determinism", p["finalUrl"].alias("url"), p["redirectChain"].alias("redirect_chain"), p["statusCode"].alias("status"), p["title"].alias("title"), p["metaDescription"].alias("meta_description"), p["canonical"].alias("canonical"), p["lang"].alias("lang"), p["pageHeight"].alias("page_height"), F.col("hitTests").isNotNull().alias("has_hit_tests")))
+    return bundles.select(*_key("environment", "determinism", p["finalUrl"].alias("url"), p["redirectChain"].alias("redirect_chain"), p["statusCode"].alias("status"), p["title"].alias("title"), p["metaDescription"].alias("meta_description"), p["canonical"].alias("canonical"), p["lang"].alias("lang"), p["pageHeight"].alias("page_height"), F.col("hitTests").isNotNull().alias("has_hit_tests"), F.col("pseudoTruncated").isNotNull().alias("pseudo_truncated")))
 
 
 def nodes(bundles: DataFrame) -> DataFrame:
@@ -88,6 +88,12 @@ def ancestors(bundles: DataFrame) -> DataFrame:
     return _items(bundles, "styleCandidates.ancestors").withColumn("bbox", _box("bbox"))
 
 
+def pseudo(bundles: DataFrame) -> DataFrame:
+    """Owners of painted pseudo-elements, with the styles of either slot."""
+    one = bundles.select(*_key(F.explode("pseudoElements").alias("owner_key", "e")))
+    return one.select(*KEY, "owner_key", F.col("e.ownerTier").alias("tier"), F.col("e.ownerNodeId").alias("node_id"), F.col("e.ownerSelector").alias("selector"), "e.landmark", "e.before", "e.after")
+
+
 def hit_points(bundles: DataFrame) -> DataFrame:
     """(node_id, status, idx, o, winner) of the sampled elements."""
     one = bundles.select(*_key(F.explode("hitTests").alias("node_id", "h")))
