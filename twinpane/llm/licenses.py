@@ -1,10 +1,17 @@
 """License scans by sparse TF-IDF cosine and directory inheritance (operator 2; DataFrame operations only).
 
-Lines with a licence cue are compared with templates of headers and licence files: cosine of sparse TF-IDF vectors, as
-a join of the lines' terms with the templates' terms. Term weights are integers (thousandths), so every sum is exact
-and a score is one root and one division. A file's own licence is that of its best line, if its score is high enough.
+Parts of a text are compared with templates of headers and licence files: cosine of sparse TF-IDF vectors, as a join of
+the parts' terms with the templates' terms. Term weights are integers (thousandths), so every sum is exact and a score
+is one root and one division. A file's own licence is that of its best part, if its score is high enough. Parts are
 
-A file is a licence file if its name says so, or if its licence lines are at least half of it. It speaks for its
+* windows of words as long as a template, laid where a telling word of it stands; line ends don't matter to them;
+* lines, and the whole text.
+
+Parts that share too few terms with every template to reach the score, or fewer than two words that are not of any prose
+(COMMON), are passed over; no others are.
+
+A file is a licence file if its name says so, if its whole text reaches the score, or if its licence lines are at least
+half of it. It speaks for its
 directory and all below that have no nearer one. Inheritance is resolved once per directory, by a join of all ancestors
 of each directory with the directories of licence files; the deepest match wins; then files join by directory. Both
 tables are written first, so Spark broadcasts them only under its size threshold and otherwise splits hot directories.
@@ -40,8 +47,47 @@ TEMPLATES = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
+#: SPDX identifiers, told by the line "SPDX-License-Identifier: X"; X-only and X-or-later count as X.
+SPDX = [
+    "0BSD", "AGPL-3.0", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-NC-SA-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "EUPL-1.2",
+    "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense", "WTFPL", "Zlib",
+]
+#: More headers, titles and first sentences of common licences.
+MORE = [
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("Artistic-2.0", "The Artistic License 2.0 Copyright (c) 2000-2006, The Perl Foundation."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("EUPL-1.2", "Licensed under the European Union Public Licence v. 1.2"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("MIT", "The MIT License (MIT)"),
+    ("MIT", "MIT License Copyright (c)"),
+    ("MIT", "Licensed under the MIT License."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("WTFPL", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE Version 2, December 2004"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+]
+EVERY = TEMPLATES + MORE + [(x, f"SPDX-License-Identifier: {x}") for x in SPDX]
 CUE = "[Ll][Ii][Cc][Ee][Nn][CcSs][Ee]|[Cc][Oo][Pp][Yy][Rr][Ii][Gg][Hh][Tt]|SPDX|[Pp]ermission is hereby|[Rr]edistribution and use"
 TERM = "[A-Za-z0-9]+"
+#: Words of any prose; a part must share two others with a template.
+COMMON = set("a an and any are as at be by can do for from if in into is it may no not of on one or that the this to was what will with without you".split())
 LEAST_SCORE = 0.6
 RESULTS = ["own_license", "own_score", "license", "inherited_from"]
 
@@ -68,21 +114,80 @@ def _idf(templates: list[tuple[str, str]]) -> list[tuple[str, int]]:
     return sorted({(w, x // count[i, w]) for i, _, w, x, _ in rows})
 
 
-def own_licenses(files: DataFrame, *, path: str = "path", text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST_SCORE) -> DataFrame:
-    """(path, own_license, own_score, is_file) of the files whose best line reaches the score."""
+def needs(templates: list[tuple[str, str]], least: float) -> list[tuple[list[str], int, list[str]]]:
+    """Of each template its terms, how many of them a part must share to reach the score, and telling terms, of which one is shared then, unless only COMMON words are.
+
+    A part's cosine is at most the share of the template's norm that lies in the shared terms.
+    """
+    weights: dict[int, dict[str, int]] = {}
+    for i, _, term, weight, _ in vectors(templates)[0]:
+        weights.setdefault(i, {})[term] = weight * weight
+    idf, out = dict(_idf(templates)), []
+    for bag in weights.values():
+        total = sum(bag.values())
+        count = next(n for n in range(1, len(bag) + 1) if sum(sorted(bag.values(), reverse=True)[:n]) >= 0.999 * least * least * total)
+        telling, rest = [], total
+        for term in sorted(set(bag) - COMMON, key=lambda w: (-idf[w], w)):
+            if rest < 0.999 * least * least * total:
+                break
+            telling.append(term)
+            rest -= bag[term]
+        out.append((sorted(bag), count, telling))
+    return out
+
+
+def any_of(words: list[str]) -> str:
+    """A pattern that finds one of the words as a term, in any case; grouped by first letters, so that most terms fail at once."""
+    groups: dict[str, list[str]] = {}
+    for w in words:
+        groups.setdefault(w[0], []).append(w[1:])
+    return "(?i)(?<![A-Za-z0-9])(?:" + "|".join(f"{a}(?:{'|'.join(b)})" for a, b in sorted(groups.items())) + ")(?![A-Za-z0-9])"
+
+
+def parts(files: DataFrame, templates: list[tuple[str, str]], least: float) -> DataFrame:
+    """(path, part, line, covered, size): windows, lines and whole texts of (path, text) that may reach the score; windows cover nothing."""
+    spark, found = files.sparkSession, needs(templates, least)
+    told = sorted({w for _, _, telling in found for w in telling})
+    vocabulary = sorted({w for terms, _, _ in found for w in terms})
+    spots = []
+    for (_, text), (terms, count, telling) in zip(templates, found, strict=True):
+        words = [w.lower() for w in re.findall(TERM, text)]
+        spots += [(w, i, len(words), terms, count) for i, w in enumerate(words) if w in telling]
+    longest = max(n for _, _, n, _, _ in spots)
+    listed = F.array(*(F.struct(F.array(*map(F.lit, terms)).alias("terms"), F.lit(count).alias("n")) for terms, count, _ in found))
+    words = lambda c: F.transform(F.regexp_extract_all(c, F.lit(TERM), F.lit(0)), lambda w: F.lower(w))
+    let = lambda value, f: F.transform(F.array(value), f)[0]
+    telling = lambda w: w.isin(told)
+    may = lambda c: let(words(c), lambda ws: F.exists(ws, telling) & let(F.array_distinct(F.filter(ws, lambda w: w.isin(vocabulary))), lambda d: F.exists(listed, lambda t: F.size(F.array_intersect(t["terms"], d)) >= t["n"])))
+    around = lambda ws, i: let(F.greatest(i - longest, F.lit(0)), lambda at: F.struct(F.get(ws, i).alias("term"), (i - at).alias("at"), F.slice(ws, at + 1, 2 * longest).alias("words")))
+    hits = lambda ws: F.filter(F.transform(ws, lambda w, i: F.when(telling(w), i)), lambda i: i.isNotNull())
+    known = files.where(F.col("path").isNotNull() & F.col("text").rlike(any_of(told)))
+    near = known.select("path", F.length("text").alias("size"), F.explode(let(words(F.col("text")), lambda ws: F.transform(hits(ws), lambda i: around(ws, i)))).alias("x")).select("path", "size", "x.*")
+    laid = F.broadcast(spark.createDataFrame(spots, "term string, before int, n int, terms array<string>, count int"))  # the templates, a fixed list
+    first = F.greatest(F.col("at") - F.col("before"), F.lit(0))
+    window = F.slice("words", first + 1, F.col("at") - F.col("before") + F.col("n") - first)
+    windows = near.join(laid, "term").select("path", "size", "terms", "count", window.alias("w")).where(F.size(F.array_intersect("terms", "w")) >= F.col("count")).select("path", F.array_join("w", " ").alias("line"), F.lit(0).cast("long").alias("covered"), "size")
+    whole = known.where(may(F.col("text"))).select("path", F.col("text").alias("line"), F.length("text").cast("long").alias("covered"), F.length("text").alias("size"))
+    split = known.select("path", F.length("text").alias("size"), F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(any_of(told))).where(may(F.col("line")))
+    lines = split.groupBy("path", "line").agg((F.count("*") * F.length("line")).alias("covered"), F.max("size").alias("size")).select("path", "line", "covered", "size")
+    every = windows.unionByName(whole).unionByName(lines).withColumn("part", F.sha2("line", 256))  # texts are too long to be keys
+    return every.groupBy("path", "part").agg(F.first("line").alias("line"), F.max("covered").alias("covered"), F.max("size").alias("size"))
+
+
+def own_licenses(files: DataFrame, *, path: str = "path", text: str = "text", templates: list[tuple[str, str]] = EVERY, least: float = LEAST_SCORE) -> DataFrame:
+    """(path, own_license, own_score, is_file) of the files whose best part reaches the score."""
     spark = files.sparkSession
     rows, other = vectors(templates)
     terms = F.broadcast(spark.createDataFrame(rows, "template int, license string, term string, weight long, norm long"))  # the templates, a fixed list
     idf = F.broadcast(spark.createDataFrame(_idf(templates), "term string, idf long"))
-    cued = files.where(F.col(path).isNotNull() & F.col(text).rlike(CUE)).select(F.col(path).alias("path"), F.length(text).alias("size"), F.explode(F.split(text, "\n")).alias("line"))
-    lines = cued.where(F.col("line").rlike(CUE)).groupBy("path", "line").agg(F.count("*").alias("times"), F.max("size").alias("size"))
-    words = lines.select("path", "line", F.explode(F.regexp_extract_all("line", F.lit(TERM), F.lit(0))).alias("term")).withColumn("term", F.lower("term"))
-    counts = words.groupBy("path", "line", "term").agg(F.count("*").alias("tf")).join(idf, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
-    norms = counts.groupBy("path", "line").agg(F.sum(F.col("w") * F.col("w")).alias("line_norm"))
-    dots = counts.join(terms, "term").groupBy("path", "line", "template", "license", "norm").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    scored = dots.join(norms, ["path", "line"]).withColumn("score", F.col("dot") / F.sqrt(F.col("line_norm").cast("double") * F.col("norm").cast("double")))
-    good = scored.where(F.col("score") >= least).groupBy("path", "line").agg(F.max("score").alias("score"), F.min(F.struct(-F.col("score"), F.col("license")))["license"].alias("license"))
-    found = good.join(lines, ["path", "line"]).groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("minus"), F.col("license").alias("license"))).alias("best"), F.sum(F.col("times") * F.length("line")).alias("covered"), F.max("size").alias("size"))
+    lines = stored(parts(files.select(F.col(path).alias("path"), F.col(text).alias("text")), templates, least), "license-parts")
+    words = lines.select("path", "part", F.explode(F.regexp_extract_all("line", F.lit(TERM), F.lit(0))).alias("term")).withColumn("term", F.lower("term"))
+    counts = words.groupBy("path", "part", "term").agg(F.count("*").alias("tf")).join(idf, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
+    norms = counts.groupBy("path", "part").agg(F.sum(F.col("w") * F.col("w")).alias("line_norm"))
+    dots = counts.join(terms, "term").groupBy("path", "part", "template", "license", "norm").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"), F.count_if(~F.col("term").isin(sorted(COMMON))).alias("own")).where("own >= 2")  # "mit" alone is German
+    scored = dots.join(norms, ["path", "part"]).withColumn("score", F.col("dot") / F.sqrt(F.col("line_norm").cast("double") * F.col("norm").cast("double")))
+    good = scored.where(F.col("score") >= least).groupBy("path", "part").agg(F.max("score").alias("score"), F.min(F.struct(-F.col("score"), F.col("license")))["license"].alias("license"))
+    found = good.join(lines, ["path", "part"]).groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("minus"), F.col("license").alias("license"))).alias("best"), F.sum("covered").alias("covered"), F.max("size").alias("size"))
     named = F.regexp_extract("path", "[^/]*$", 0).rlike("^(LICEN[CS]E|COPYING)")
     return found.select("path", F.col("best.license").alias("own_license"), (-F.col("best.minus")).alias("own_score"), (named | (2 * F.col("covered") >= F.col("size"))).alias("is_file"))
 
@@ -92,7 +197,7 @@ def directory(path: str):
     return F.regexp_replace(path, "/?[^/]*$", "")
 
 
-def scan(files: DataFrame, *, path: str = "path", text: str = "text", keep: list[str] | None = None, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST_SCORE) -> DataFrame:
+def scan(files: DataFrame, *, path: str = "path", text: str = "text", keep: list[str] | None = None, templates: list[tuple[str, str]] = EVERY, least: float = LEAST_SCORE) -> DataFrame:
     """The columns `keep` of files (default: all) with RESULTS: the licence of each file, its own or an inherited one."""
     keep = [c for c in (keep or files.columns) if c not in RESULTS]
     own = stored(own_licenses(files, path=path, text=text, templates=templates, least=least), "license-own")
