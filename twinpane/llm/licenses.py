@@ -1,24 +1,25 @@
 """License scans by sparse TF-IDF cosine and directory inheritance (operator 2; DataFrame operations only).
 
-Parts of a text are compared with templates of headers and licence files: cosine of sparse TF-IDF vectors, as a join of
-the parts' terms with the templates' terms. Term weights are integers (thousandths), so every sum is exact and a score
-is one root and one division. A file's own licence is that of its best part, if its score is high enough. Parts are
-
-* windows of words as long as a template, laid where a telling word of it stands; line ends don't matter to them;
-* lines, and the whole text.
-
-Parts that share too few terms with every template to reach the score, or fewer than two words that are not of any prose
-(COMMON), are passed over; no others are.
-
-A file is a licence file if its name says so, if its whole text reaches the score, or if its licence lines are at least
-half of it. It speaks for its
-directory and all below that have no nearer one. Inheritance is resolved once per directory, by a join of all ancestors
-of each directory with the directories of licence files; the deepest match wins; then files join by directory. Both
-tables are written first, so Spark broadcasts them only under its size threshold and otherwise splits hot directories.
+Headers are found in any file: windows of words as long as a template, laid wherever a telling word of it stands, so
+line ends, markup and surrounding prose don't matter. Licence files, those named LICENSE or COPYING, are compared as a
+whole as well. The cosine of the sparse TF-IDF vectors of a window and its template decides; term weights are integers
+(thousandths), so every sum is exact and a score is one root and one division. A file's own licence is that of its
+best part, if its score is high enough and two words are shared that are not of any prose (COMMON).
+
+Telling words are such that a window which reaches the score has one; a window that shares fewer terms than the score
+needs is passed over before it is scored. Windows live and die within the row of their text: nothing is exploded or
+shuffled but the parts that reach the score.
+
+A file is a licence file if its name says so or if its licence windows cover at least half of its words. It speaks for
+its directory and all below that have no nearer one. Inheritance is resolved once per directory, by a join of all
+ancestors of each directory with the directories of licence files; the deepest match wins; then files join by
+directory. Both tables are written first, so Spark broadcasts them only under its size threshold and otherwise splits
+hot directories.
 
 Defined results: null texts and paths have no licence of their own; a null path inherits nothing. Ties of score go to
 the licence that comes first by name, several licence files in one directory to the smallest path. Rows that repeat a
-path are one file. Empty tables give empty results. Columns of the input with the names of the results give way.
+path are one file, with the best part of any. Empty tables give empty results, empty texts no licence. Long texts are
+whole. Columns of the input with the names of the results give way.
 """
 
 from __future__ import annotations
@@ -84,15 +85,16 @@ MORE = [
     ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
 ]
 EVERY = TEMPLATES + MORE + [(x, f"SPDX-License-Identifier: {x}") for x in SPDX]
-CUE = "[Ll][Ii][Cc][Ee][Nn][CcSs][Ee]|[Cc][Oo][Pp][Yy][Rr][Ii][Gg][Hh][Tt]|SPDX|[Pp]ermission is hereby|[Rr]edistribution and use"
 TERM = "[A-Za-z0-9]+"
+#: Names of licence files.
+NAMED = "^(LICEN[CS]E|COPYING)"
 #: Words of any prose; a part must share two others with a template.
 COMMON = set("a an and any are as at be by can do for from if in into is it may no not of on one or that the this to was what will with without you".split())
 LEAST_SCORE = 0.6
 RESULTS = ["own_license", "own_score", "license", "inherited_from"]
 
 
-def vectors(templates: list[tuple[str, str]] = TEMPLATES) -> tuple[list[tuple[int, str, str, int, int]], int]:
+def vectors(templates: list[tuple[str, str]] = EVERY) -> tuple[list[tuple[int, str, str, int, int]], int]:
     """(template, licence, term, weight, squared norm) of the templates' terms, and the idf of a term of none."""
     bags = [Counter(w.lower() for w in re.findall(TERM, text)) for _, text in templates]
     df = Counter(w for bag in bags for w in bag)
@@ -136,60 +138,90 @@ def needs(templates: list[tuple[str, str]], least: float) -> list[tuple[list[str
     return out
 
 
-def any_of(words: list[str]) -> str:
-    """A pattern that finds one of the words as a term, in any case; grouped by first letters, so that most terms fail at once."""
-    groups: dict[str, list[str]] = {}
-    for w in words:
-        groups.setdefault(w[0], []).append(w[1:])
-    return "(?i)(?<![A-Za-z0-9])(?:" + "|".join(f"{a}(?:{'|'.join(b)})" for a, b in sorted(groups.items())) + ")(?![A-Za-z0-9])"
-
-
-def parts(files: DataFrame, templates: list[tuple[str, str]], least: float) -> DataFrame:
-    """(path, part, line, covered, size): windows, lines and whole texts of (path, text) that may reach the score; windows cover nothing."""
-    spark, found = files.sparkSession, needs(templates, least)
-    told = sorted({w for _, _, telling in found for w in telling})
-    vocabulary = sorted({w for terms, _, _ in found for w in terms})
-    spots = []
-    for (_, text), (terms, count, telling) in zip(templates, found, strict=True):
-        words = [w.lower() for w in re.findall(TERM, text)]
-        spots += [(w, i, len(words), terms, count) for i, w in enumerate(words) if w in telling]
-    longest = max(n for _, _, n, _, _ in spots)
-    listed = F.array(*(F.struct(F.array(*map(F.lit, terms)).alias("terms"), F.lit(count).alias("n")) for terms, count, _ in found))
-    words = lambda c: F.transform(F.regexp_extract_all(c, F.lit(TERM), F.lit(0)), lambda w: F.lower(w))
-    let = lambda value, f: F.transform(F.array(value), f)[0]
-    telling = lambda w: w.isin(told)
-    may = lambda c: let(words(c), lambda ws: F.exists(ws, telling) & let(F.array_distinct(F.filter(ws, lambda w: w.isin(vocabulary))), lambda d: F.exists(listed, lambda t: F.size(F.array_intersect(t["terms"], d)) >= t["n"])))
-    around = lambda ws, i: let(F.greatest(i - longest, F.lit(0)), lambda at: F.struct(F.get(ws, i).alias("term"), (i - at).alias("at"), F.slice(ws, at + 1, 2 * longest).alias("words")))
-    hits = lambda ws: F.filter(F.transform(ws, lambda w, i: F.when(telling(w), i)), lambda i: i.isNotNull())
-    known = files.where(F.col("path").isNotNull() & F.col("text").rlike(any_of(told)))
-    near = known.select("path", F.length("text").alias("size"), F.explode(let(words(F.col("text")), lambda ws: F.transform(hits(ws), lambda i: around(ws, i)))).alias("x")).select("path", "size", "x.*")
-    laid = F.broadcast(spark.createDataFrame(spots, "term string, before int, n int, terms array<string>, count int"))  # the templates, a fixed list
-    first = F.greatest(F.col("at") - F.col("before"), F.lit(0))
-    window = F.slice("words", first + 1, F.col("at") - F.col("before") + F.col("n") - first)
-    windows = near.join(laid, "term").select("path", "size", "terms", "count", window.alias("w")).where(F.size(F.array_intersect("terms", "w")) >= F.col("count")).select("path", F.array_join("w", " ").alias("line"), F.lit(0).cast("long").alias("covered"), "size")
-    whole = known.where(may(F.col("text"))).select("path", F.col("text").alias("line"), F.length("text").cast("long").alias("covered"), F.length("text").alias("size"))
-    split = known.select("path", F.length("text").alias("size"), F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(any_of(told))).where(may(F.col("line")))
-    lines = split.groupBy("path", "line").agg((F.count("*") * F.length("line")).alias("covered"), F.max("size").alias("size")).select("path", "line", "covered", "size")
-    every = windows.unionByName(whole).unionByName(lines).withColumn("part", F.sha2("line", 256))  # texts are too long to be keys
-    return every.groupBy("path", "part").agg(F.first("line").alias("line"), F.max("covered").alias("covered"), F.max("size").alias("size"))
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def own_licenses(files: DataFrame, *, path: str = "path", text: str = "text", templates: list[tuple[str, str]] = EVERY, least: float = LEAST_SCORE) -> DataFrame:
-    """(path, own_license, own_score, is_file) of the files whose best part reaches the score."""
+def words_of(text: str):
+    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit("[a-z0-9]+"), F.lit(0))
+
+
+def let(value, then):
+    """`then` of a value that is computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def listed(values):
+    return F.array(*(F.lit(x) for x in values))
+
+
+def spots_of(templates: list[tuple[str, str]], least: float) -> list[tuple[str, int, int, int]]:
+    """(telling word, template, its place there, words of the template)."""
+    out = []
+    for t, ((_, text), (_, _, telling)) in enumerate(zip(templates, needs(templates, least), strict=True)):
+        bag = [w.lower() for w in re.findall(TERM, text)]
+        out += [(w, t, i, len(bag)) for i, w in enumerate(bag) if w in telling]
+    return out
+
+
+def headers(files: DataFrame, templates: list[tuple[str, str]], least: float) -> DataFrame:
+    """(path, score, license, covered, size) of (path, text): the best window; covered and all words of the text."""
+    rows, other = vectors(templates)
+    spots, found = spots_of(templates, least), needs(templates, least)
+    laid = F.create_map(*(x for term in sorted({w for w, *_ in spots}) for x in (F.lit(term), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(i).alias("i"), F.lit(n).alias("n")) for w, t, i, n in spots if w == term)))))
+    idf = F.create_map(*(F.lit(x) for pair in _idf(templates) for x in pair))
+    of = [{w: x for i, _, w, x, _ in rows if i == t} for t in range(len(templates))]
+    norms = {i: norm for i, _, _, _, norm in rows}
+    about = F.array(*(F.struct(F.lit(name).alias("license"), listed(terms).alias("terms"), F.lit(count).alias("count"), F.create_map(*(F.lit(x) for w in sorted(bag) for x in (w, bag[w]))).alias("weights"), F.lit(norms[t]).cast("long").alias("norm")) for t, ((name, _), (terms, count, _), bag) in enumerate(zip(templates, found, of, strict=True))))
+    zero = F.lit(0).cast("long")
+    telling = sorted({w for w, *_ in spots})
+
+    def place(p, s):
+        start = F.greatest(p["at"] - s["i"], F.lit(0))
+        return F.struct(s["t"].alias("t"), start.alias("start"), (p["at"] - s["i"] + s["n"] - start).alias("n"))
+
+    def sums(w, t):
+        def add(acc, term):
+            return let(F.struct((F.size(F.filter(w, lambda x: x == term)) * F.coalesce(F.try_element_at(idf, term), F.lit(other))).cast("long").alias("w"), F.try_element_at(t["weights"], term).cast("long").alias("x")), lambda v: F.struct((acc["line"] + v["w"] * v["w"]).alias("line"), (acc["dot"] + v["w"] * F.coalesce(v["x"], zero)).alias("dot"), (acc["own"] + F.when(v["x"].isNotNull() & ~term.isin(sorted(COMMON)), 1).otherwise(0)).alias("own")))
+
+        return F.aggregate(F.array_distinct(w), F.struct(zero.alias("line"), zero.alias("dot"), F.lit(0).alias("own")), add)
+
+    def judged(ws, c):
+        return let(F.struct(F.slice(ws, c["start"] + 1, c["n"]).alias("w"), about[c["t"]].alias("t")), lambda x: F.when(F.size(F.array_intersect(x["w"], x["t"]["terms"])) >= x["t"]["count"], let(sums(x["w"], x["t"]), lambda v: F.struct(F.when(v["own"] >= 2, v["dot"] / F.sqrt(v["line"].cast("double") * x["t"]["norm"].cast("double"))).alias("score"), x["t"]["license"].alias("license"), c["start"].alias("start"), F.size(x["w"]).alias("n")))))
+
+    def windows(ws):
+        hits = F.filter(F.transform(ws, lambda w, at: F.when(w.isin(telling), F.struct(w.alias("w"), at.alias("at")))), lambda h: h.isNotNull())
+        places = F.array_distinct(F.flatten(F.transform(hits, lambda p: F.transform(F.try_element_at(laid, p["w"]), lambda s: place(p, s)))))
+        return F.struct(F.filter(F.transform(places, lambda c: judged(ws, c)), lambda g: g["score"] >= least).alias("good"), F.size(ws).alias("size"))
+
+    known = files.where(F.col("path").isNotNull() & F.col("text").isNotNull())
+    scored = known.select("path", let(words_of("text"), windows).alias("x")).where(F.size("x.good") > 0)
+    best = F.array_min(F.transform("x.good", lambda g: F.struct((-g["score"]).alias("minus"), g["license"].alias("license"))))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("x.good", lambda g: F.sequence(g["start"], g["start"] + g["n"] - 1)))))
+    return scored.select("path", (-best["minus"]).alias("score"), best["license"].alias("license"), covered.alias("covered"), F.col("x.size").alias("size"))
+
+
+def whole_files(files: DataFrame, templates: list[tuple[str, str]], least: float) -> DataFrame:
+    """(path, score, license, covered, size): named licence files as a whole, by joins of their terms."""
     spark = files.sparkSession
     rows, other = vectors(templates)
     terms = F.broadcast(spark.createDataFrame(rows, "template int, license string, term string, weight long, norm long"))  # the templates, a fixed list
     idf = F.broadcast(spark.createDataFrame(_idf(templates), "term string, idf long"))
-    lines = stored(parts(files.select(F.col(path).alias("path"), F.col(text).alias("text")), templates, least), "license-parts")
-    words = lines.select("path", "part", F.explode(F.regexp_extract_all("line", F.lit(TERM), F.lit(0))).alias("term")).withColumn("term", F.lower("term"))
+    named = files.where(F.regexp_extract("path", "[^/]*$", 0).rlike(NAMED) & F.col("text").isNotNull())
+    words = named.select("path", F.xxhash64("text").alias("part"), F.explode(words_of("text")).alias("term"))
     counts = words.groupBy("path", "part", "term").agg(F.count("*").alias("tf")).join(idf, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
-    norms = counts.groupBy("path", "part").agg(F.sum(F.col("w") * F.col("w")).alias("line_norm"))
-    dots = counts.join(terms, "term").groupBy("path", "part", "template", "license", "norm").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"), F.count_if(~F.col("term").isin(sorted(COMMON))).alias("own")).where("own >= 2")  # "mit" alone is German
-    scored = dots.join(norms, ["path", "part"]).withColumn("score", F.col("dot") / F.sqrt(F.col("line_norm").cast("double") * F.col("norm").cast("double")))
-    good = scored.where(F.col("score") >= least).groupBy("path", "part").agg(F.max("score").alias("score"), F.min(F.struct(-F.col("score"), F.col("license")))["license"].alias("license"))
-    found = good.join(lines, ["path", "part"]).groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("minus"), F.col("license").alias("license"))).alias("best"), F.sum("covered").alias("covered"), F.max("size").alias("size"))
-    named = F.regexp_extract("path", "[^/]*$", 0).rlike("^(LICEN[CS]E|COPYING)")
-    return found.select("path", F.col("best.license").alias("own_license"), (-F.col("best.minus")).alias("own_score"), (named | (2 * F.col("covered") >= F.col("size"))).alias("is_file"))
+    norms = counts.groupBy("path", "part").agg(F.sum(F.col("w") * F.col("w")).alias("line"), F.sum("tf").cast("int").alias("size"))
+    dots = counts.join(terms, "term").groupBy("path", "part", "template", "license", "norm").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"), F.count_if(~F.col("term").isin(sorted(COMMON))).alias("own")).where("own >= 2")
+    scored = dots.join(norms, ["path", "part"]).withColumn("score", F.col("dot") / F.sqrt(F.col("line").cast("double") * F.col("norm").cast("double")))
+    return scored.where(F.col("score") >= least).select("path", "score", "license", F.col("size").alias("covered"), "size")
+
+
+def own_licenses(files: DataFrame, *, path: str = "path", text: str = "text", templates: list[tuple[str, str]] = EVERY, least: float = LEAST_SCORE) -> DataFrame:
+    """(path, own_license, own_score, is_file) of the files whose best part reaches the score."""
+    read = files.select(F.col(path).alias("path"), F.col(text).alias("text"))
+    parts = headers(read, templates, least).unionByName(whole_files(read, templates, least))
+    found = parts.groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("minus"), F.col("license").alias("license"))).alias("best"), F.max(2 * F.col("covered") >= F.col("size")).alias("half"))
+    named = F.regexp_extract("path", "[^/]*$", 0).rlike(NAMED)
+    return found.select("path", F.col("best.license").alias("own_license"), (-F.col("best.minus")).alias("own_score"), (named | F.col("half")).alias("is_file"))
 
 
 def directory(path: str):
@@ -223,47 +255,51 @@ def op2_licenses(spark, sf_dir: str) -> DataFrame:
     return scan(docs, keep=["doc_id", "path"])
 
 
-def _values() -> tuple[str, str, int]:
+def _values() -> dict[str, str]:
     rows, other = vectors()
     quote = lambda x: f"'{x}'" if isinstance(x, str) else str(x)
-    lists = [", ".join("(" + ", ".join(map(quote, r)) + ")" for r in x) for x in (rows, _idf(TEMPLATES))]
-    return lists[0], lists[1], other
+    said = lambda rows: ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in rows)
+    return {"terms": said(rows), "idf": said(_idf(EVERY)), "spots": said(spots_of(EVERY, LEAST_SCORE)), "common": ", ".join(quote(w) for w in sorted(COMMON)), "other": str(other), "least": str(LEAST_SCORE), "upper": UPPER, "lower": LOWER}
 
 
 OP2_SQL = r"""
-WITH terms(template, license, term, weight, norm) AS (VALUES {terms}), idf(term, idf) AS (VALUES {idf}), files AS (
-  SELECT doc_id, text, concat_ws('/', source, CAST(doc_id // 100 % 10 AS VARCHAR), CAST(doc_id // 20 % 5 AS VARCHAR), CAST(doc_id AS VARCHAR) || '.txt') AS path FROM documents
-), cued AS (
-  SELECT path, length(text) AS size, unnest(string_split(text, chr(10))) AS line FROM files WHERE regexp_matches(text, '{cue}')
-), lines AS (
-  SELECT path, line, count(*) AS times, max(size) AS size FROM cued WHERE regexp_matches(line, '{cue}') GROUP BY path, line
-), words AS (
-  SELECT path, line, lower(unnest(regexp_extract_all(line, '{term}'))) AS term FROM lines
+WITH terms(template, license, term, weight, norm) AS (VALUES {terms}), idf(term, idf) AS (VALUES {idf}), spots(term, template, place, n) AS (VALUES {spots}), files AS (
+  SELECT text, concat_ws('/', source, CAST(doc_id // 100 % 10 AS VARCHAR), CAST(doc_id // 20 % 5 AS VARCHAR), CAST(doc_id AS VARCHAR) || '.txt') AS path, doc_id FROM documents
+), tokens AS (
+  SELECT path, regexp_extract_all(translate(text, '{upper}', '{lower}'), '[a-z0-9]+') AS words FROM files WHERE text IS NOT NULL
+), spread AS (
+  SELECT path, unnest(words) AS term, generate_subscripts(words, 1) - 1 AS pos FROM tokens
+), placed AS (
+  SELECT DISTINCT path, template, greatest(pos - place, 0) AS start, pos - place + n AS stop FROM spread JOIN spots USING (term)
+), windows AS (
+  SELECT path, template, start, len(words) AS size, list_slice(words, start + 1, stop) AS w FROM placed JOIN tokens USING (path)
 ), counts AS (
-  SELECT path, line, w.term, count(*) * coalesce(any_value(idf), {other}) AS w FROM words w LEFT JOIN idf i ON w.term = i.term GROUP BY path, line, w.term
-), norms AS (SELECT path, line, sum(w * w) AS line_norm FROM counts GROUP BY path, line
-), dots AS (
-  SELECT path, line, template, license, norm, sum(w * weight) AS dot FROM counts c JOIN terms t ON c.term = t.term GROUP BY path, line, template, license, norm
-), scored AS (
-  SELECT path, line, license, CAST(dot AS DOUBLE) / sqrt(CAST(line_norm AS DOUBLE) * CAST(norm AS DOUBLE)) AS score FROM dots JOIN norms USING (path, line)
+  SELECT path, template, start, size, len(w) AS n, term, count(*) AS tf FROM (SELECT *, unnest(w) AS term FROM windows) GROUP BY ALL
+), weighed AS (
+  SELECT c.*, tf * coalesce(idf, {other}) AS w, weight FROM counts c LEFT JOIN idf i ON c.term = i.term LEFT JOIN terms t ON c.template = t.template AND c.term = t.term
+), summed AS (
+  SELECT path, template, start, size, n, sum(w * w) AS line, sum(w * coalesce(weight, 0)) AS dot, count(*) FILTER (weight IS NOT NULL AND term NOT IN ({common})) AS own
+  FROM weighed GROUP BY ALL
 ), good AS (
-  SELECT path, line, max(score) AS score, arg_min(license, (-score, license)) AS license FROM scored WHERE score >= {least} GROUP BY path, line
+  SELECT path, start, size, n, license, CAST(dot AS DOUBLE) / sqrt(CAST(line AS DOUBLE) * CAST(norm AS DOUBLE)) AS score
+  FROM summed JOIN (SELECT DISTINCT template, license, norm FROM terms) USING (template) WHERE own >= 2
+), best AS (SELECT * FROM good WHERE score >= {least}
+), covered AS (
+  SELECT path, count(DISTINCT pos) AS covered FROM (SELECT path, unnest(range(start, start + n)) AS pos FROM best) GROUP BY path
 ), own AS (
-  SELECT path, arg_min(license, (-score, license)) AS own_license, max(score) AS own_score,
-         regexp_matches(regexp_extract(path, '[^/]*$'), '^(LICEN[CS]E|COPYING)') OR 2 * sum(times * length(line)) >= max(size) AS is_file
-  FROM good JOIN lines USING (path, line) GROUP BY path
+  SELECT path, arg_min(license, (-score, license)) AS own_license, max(score) AS own_score, 2 * any_value(covered) >= any_value(size) AS is_file
+  FROM best JOIN covered USING (path) GROUP BY path
 ), speaks AS (
   SELECT regexp_replace(path, '/?[^/]*$', '') AS "at", arg_min(own_license, path) AS license FROM own WHERE is_file GROUP BY 1
-), placed AS (
+), located AS (
   SELECT doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS dir FROM files
 ), resolved AS (
   SELECT dir, arg_max("at", length("at")) AS inherited_from, arg_max(license, length("at")) AS inherited
-  FROM (SELECT DISTINCT dir FROM placed) d JOIN speaks s ON s."at" = '' OR d.dir = s."at" OR starts_with(d.dir, s."at" || '/') GROUP BY dir
+  FROM (SELECT DISTINCT dir FROM located) d JOIN speaks s ON s."at" = '' OR d.dir = s."at" OR starts_with(d.dir, s."at" || '/') GROUP BY dir
 )
 SELECT p.doc_id, p.path, o.own_license, o.own_score, coalesce(o.own_license, r.inherited) AS license,
        CASE WHEN o.own_license IS NULL THEN r.inherited_from END AS inherited_from
-FROM placed p LEFT JOIN own o ON p.path = o.path LEFT JOIN resolved r ON p.dir = r.dir
+FROM located p LEFT JOIN own o ON p.path = o.path LEFT JOIN resolved r ON p.dir = r.dir
 """
-_terms, _idfs, _other = _values()
-for _name, _value in (("terms", _terms), ("idf", _idfs), ("cue", CUE), ("term", TERM), ("other", _other), ("least", LEAST_SCORE)):
-    OP2_SQL = OP2_SQL.replace("{" + _name + "}", str(_value))
+for _name, _value in _values().items():
+    OP2_SQL = OP2_SQL.replace("{" + _name + "}", _value)
