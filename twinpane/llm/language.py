@@ -1,18 +1,20 @@
 """Language identification by words first, then shorter and shorter character n-grams (operator 9).
 
-Learning counts every word and every character n-gram of every training text, per language. A word or n-gram enters
-the model if it makes up at least a given share of those of its language, so the model has at most 1 / share entries
-per language and kind, whatever the size of the corpus; what is rarer counts as unseen and backs off. That bound is
-what makes the broadcast safe.
+Learning counts every word and every character n-gram of the labelled sample, per language; nothing that stands in it
+is left out. The sample is bounded: each language has a share of `sample_bytes`, and if its texts are more than that,
+those texts are taken whose hash lies under the share. That bound makes the broadcast safe, whatever the size of the
+corpus. The model is sparse, an entry holds only the languages in which it stands, so many languages cost no more.
 
 Scoring: a known word adds its log frequency in each language. An unseen word is scored by its n-grams of five
 characters; if the model knows none of them, by those of four, and so on down to single characters, with a penalty for
-each step. The prediction is the language of the highest sum, its score the posterior probability.
+each step. A language that lacks an entry counts as having it half a time. The prediction is the language of the
+highest sum, its score the posterior probability.
 
 Defined results: null text, or text without a letter: `und`, score 0. Texts of letters of which the model knows
 nothing get the most frequent language with its prior probability. Without training rows every text is `und`. Ties go
-to the language that comes first by name. Repeated rows count as often as they stand, in learning and in scoring.
-A column of the input whose name is one of the results gives way to it.
+to the language that comes first by name. Repeated rows count as often as they stand, in learning and in scoring. An
+empty table gives an empty result. Long texts are read in pieces that end at a character that is no letter; a run of
+letters longer than a piece (PIECE) is cut. A column of the input whose name is one of the results gives way to it.
 """
 
 from __future__ import annotations
@@ -23,24 +25,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import mix, slices
-from .common import crc_fold, stored, table
+from .common import crc_fold, drop_tables, stored, table, trimmed
 
 ORDERS = (5, 4, 3, 2, 1)
-WORD_SHARE = 5e-6
-GRAM_SHARE = 1e-5
+SAMPLE_BYTES = 16 << 20
+PIECE = 1 << 18
 UNDETERMINED = "und"
 _BASE = 0x9E3779B97F4A7C15 & ~7 | 5
 _CODE = np.uint64(0xD6E8FEB86659FD93)
 _SPACE = ord(" ")
 
 
-def _letters() -> np.ndarray:
-    """For code points below 0x30000: is it a letter? Above, all are taken as letters."""
-    return np.array([chr(c).isalpha() for c in range(0x30000)] + [True], bool)
+_LETTER = np.array([chr(c).isalpha() for c in range(0x110000)], bool)
+_powers: list[np.ndarray] = []
 
 
-_LETTER = _letters()
-_powers: list[np.ndarray] = []
+def pieces(text: str, limit: int = PIECE):
+    """Consecutive parts of a text, each ended by a character that is no letter; longer runs of letters are cut."""
+    at = 0
+    while len(text) - at > limit:
+        cut = at + limit
+        while cut > at and text[cut - 1].isalpha():
+            cut -= 1
+        cut = cut if cut > at else at + limit
+        yield text[at:cut]
+        at = cut
+    yield text[at:] if at else text
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +71,7 @@ class Batch:
         joined = [t.lower() if t else "" for t in texts]
         sizes = np.array([len(t) + 2 for t in joined], np.int64)
         codes = np.frombuffer("".join(" " + t + " " for t in joined).encode("utf-32-le", "surrogatepass"), np.uint32)
-        letter = _LETTER[np.minimum(codes, 0x30000)] if len(codes) else np.zeros(0, bool)
+        letter = _LETTER[codes] if len(codes) else np.zeros(0, bool)
         edge = np.flatnonzero(np.diff(letter.astype(np.int8)))
         self.starts, self.ends = edge[::2] + 1, edge[1::2] + 1
         self.codes = np.where(letter, codes, _SPACE).astype(np.uint64)
@@ -109,6 +119,16 @@ class _Learner:
         self.held = {}
 
     def add(self, texts, langs):
+        texts = [t or "" for t in texts]
+        for text, lang in zip(texts, langs, strict=True):
+            if len(text) > PIECE:
+                for piece in pieces(text):
+                    self._add([piece], [lang])
+        short = [(t, x) for t, x in zip(texts, langs, strict=True) if len(t) <= PIECE]
+        if short:
+            self._add(*zip(*short, strict=True))
+
+    def _add(self, texts, langs):
         batch = Batch(texts)
         of = np.array([self.codes[x] for x in langs], np.int64)
         word_lang = np.repeat(of, np.diff(batch.counts))
@@ -127,24 +147,45 @@ class _Learner:
         return sum(len(p[0]) for parts in self.held.values() for p in parts)
 
 
-class Model:
-    """Log frequencies by language, as sorted arrays."""
+class Table:
+    """The entries of one kind: for each its languages and by how much its log frequency there exceeds the floor."""
 
-    def __init__(self, languages: list[str], prior: np.ndarray, tables: dict[int, tuple[np.ndarray, np.ndarray]], floors: dict[int, np.ndarray]):
-        self.languages, self.prior, self.tables, self.floors = languages, prior, tables, floors
+    def __init__(self, hashes: np.ndarray, langs: np.ndarray, counts: np.ndarray, totals: np.ndarray):
+        by = np.lexsort((langs, hashes))
+        self.known, first = np.unique(hashes[by], return_index=True)
+        self.ptr = np.append(first, len(by)).astype(np.int64)
+        self.lang = langs[by].astype(np.int32)
+        self.floor = np.log(0.5 / totals)
+        self.logs = (np.log(counts[by] / totals[self.lang]) - self.floor[self.lang]).astype(np.float32)
 
-    def find(self, order: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        known, _ = self.tables[order]
-        if not len(known) or not len(hashes):
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.known) or not len(hashes):
             return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        return at, known[at] == hashes
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        return at, self.known[at] == hashes
 
-    def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def sums(self, at: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+        """For each group the sum of the log frequencies of its entries, by language."""
+        k = len(self.floor)
+        size = self.ptr[at + 1] - self.ptr[at]
+        spot = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - self.ptr[at], size)
+        out = np.bincount(np.repeat(group, size) * k + self.lang[spot], self.logs[spot], groups * k).reshape(groups, k)
+        return out + np.bincount(group, minlength=groups)[:, None] * self.floor
+
+
+class Model:
+    """Tables by order (0: words) and the prior of each language."""
+
+    def __init__(self, languages: list[str], prior: np.ndarray, tables: dict[int, Table]):
+        self.languages, self.prior, self.tables = languages, prior, tables
+
+    def points(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The sum of each text by language, without the prior; the number of words."""
         batch, k = Batch(texts), len(self.languages)
-        at, known = self.find(0, batch.words)
-        points = np.zeros((len(batch.words), k))
-        points[known] = self.tables[0][1][at[known]]
+        sizes = np.diff(batch.counts)
+        of = np.repeat(np.arange(len(texts)), sizes)
+        at, known = self.tables[0].find(batch.words)
+        total = self.tables[0].sums(at[known], of[known], len(texts))
         unseen = np.flatnonzero(~known)
         if len(unseen):
             _, one, back = np.unique(batch.words[unseen], return_index=True, return_inverse=True)
@@ -152,10 +193,9 @@ class Model:
             left = np.arange(len(rest))
             for step, order in enumerate(ORDERS):
                 hashes, owner = batch.grams(rest[left], order)
-                at, good = self.find(order, hashes)
-                logs = self.tables[order][1][at[good]]
+                at, good = self.tables[order].find(hashes)
                 n = np.bincount(owner[good], minlength=len(left))
-                sums = np.stack([np.bincount(owner[good], logs[:, j], len(left)) for j in range(k)], axis=1)
+                sums = self.tables[order].sums(at[good], owner[good], len(left))
                 # An n-gram overlaps its neighbours: their mean, once per `order` characters.
                 length = np.maximum((batch.ends - batch.starts)[rest[left]] / order, 1)
                 hit = n > 0
@@ -163,29 +203,40 @@ class Model:
                 left = left[~hit]
                 if not len(left):
                     break
-            points[unseen] = found[back]
-        total = np.zeros((len(texts), k))
-        filled = np.flatnonzero(np.diff(batch.counts))
-        if len(filled):
-            total[filled] = np.add.reduceat(points, batch.counts[:-1][filled], axis=0)
+            for i in range(0, len(unseen), 8192):
+                np.add.at(total, of[unseen[i : i + 8192]], found[back[i : i + 8192]])
+        return total, sizes
+
+    def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        total, words = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
+        short = [i for i, t in enumerate(texts) if t and len(t) <= PIECE]
+        if short:
+            total[short], words[short] = self.points([texts[i] for i in short])
+        for i, text in enumerate(texts):
+            if text and len(text) > PIECE:
+                for piece in pieces(text):
+                    part, n = self.points([piece])
+                    total[i] += part[0]
+                    words[i] += n[0]
         total += self.prior
         total -= total.max(axis=1, keepdims=True)
         chance = np.exp(total)
         chance /= chance.sum(axis=1, keepdims=True)
-        best = np.argmax(chance, axis=1)
-        words = np.diff(batch.counts) > 0
-        return [self.languages[b] if w else UNDETERMINED for b, w in zip(best, words, strict=True)], np.where(words, chance[np.arange(len(texts)), best], 0.0).tolist()
+        best, some = np.argmax(chance, axis=1), words > 0
+        return [self.languages[b] if w else UNDETERMINED for b, w in zip(best, some, strict=True)], np.where(some, chance[np.arange(len(texts)), best], 0.0).tolist()
 
 
-def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE, max_languages: int = 1000) -> Model:
-    """The model of the rows with text and language. Counts cover every row; languages must be at most max_languages."""
+def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """The model of the rows with text and language; priors are of all of them, counts of a sample of about sample_bytes."""
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    names = [(r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(max_languages + 1).collect()]
-    if len(names) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
-    languages = [x for x, _ in names]
+    seen = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).orderBy("lang").collect()
+    languages = [r["lang"] for r in seen]
     codes = {x: i for i, x in enumerate(languages)}
+    # Of 2^20 hash values, those below the language's share are in the sample.
+    cuts = docs.sparkSession.createDataFrame([(r["lang"], min(1 << 20, -(-sample_bytes * (1 << 20) // (len(seen) * max(1, r["size"]))))) for r in seen], "l string, cut long")
+    sample = rows.join(F.broadcast(cuts), F.col("lang") == F.col("l")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.col("cut")).select("text", "lang")
 
+    @trimmed
     def count(batches):
         held = _Learner(codes)
         for whole in batches:
@@ -195,25 +246,16 @@ def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", word_share
                     yield from held.rows()
         yield from held.rows()
 
-    counts = rows.mapInArrow(count, "n int, hash long, lang int, count long").groupBy("n", "hash", "lang").agg(F.sum("count").alias("count"))
-    counts = stored(counts, "language-counts")
-    sums = {(r["n"], r["lang"]): r["total"] for r in counts.groupBy("n", "lang").agg(F.sum("count").alias("total")).collect()}
-    totals = counts.groupBy("n", "lang").agg(F.sum("count").alias("total"))
-    share = F.when(F.col("n") == 0, word_share).otherwise(gram_share)
-    kept = counts.join(totals, ["n", "lang"]).where((F.col("count") >= 2) & (F.col("count") >= share * F.col("total"))).select("n", "hash", "lang", "count").toArrow()
-    order_of, hash_of, lang_of, count_of = (kept.column(c).to_numpy() for c in ("n", "hash", "lang", "count"))
-    k, tables, floors = len(languages), {}, {}
+    counts = stored(sample.mapInArrow(count, "n int, hash long, lang int, count long").groupBy("n", "hash", "lang").agg(F.sum("count").alias("count")), "language-counts")
+    k, tables = len(languages), {}
     for order in (0, *ORDERS):
-        here = order_of == order
-        total = np.array([max(1, sums.get((order, i), 0)) for i in range(k)], float)
-        known, at = np.unique(hash_of[here].view(np.uint64), return_inverse=True)
-        # A language that lacks the entry has it half as often as the rarest that the model holds.
-        floor = np.log(0.5 * np.maximum(1, (word_share if order == 0 else gram_share) * total) / total) if k else np.zeros(0)
-        logs = np.tile(floor, (len(known), 1)).astype(np.float32)
-        logs[at, lang_of[here]] = np.log(count_of[here] / total[lang_of[here]])
-        tables[order], floors[order] = (known, logs), floor
-    weight = np.array([n for _, n in names], float)
-    return Model(languages, np.log(weight / weight.sum()) if k else np.zeros(0), tables, floors)
+        got = counts.where(F.col("n") == order).select("hash", "lang", "count").toArrow()
+        hashes, langs, n = (got.column(c).to_numpy() for c in ("hash", "lang", "count"))
+        totals = np.maximum(np.bincount(langs, n, k) if k else np.zeros(0), 1)
+        tables[order] = Table(hashes.view(np.uint64), langs, n, totals)
+    drop_tables(docs.sparkSession, counts)
+    weight = np.array([r["n"] for r in seen], float)
+    return Model(languages, np.log(weight / weight.sum()) if k else np.zeros(0), tables)
 
 
 def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None, into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -221,6 +263,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: list[st
     keep = [c for c in (keep or docs.columns) if c not in into]
     held = docs.sparkSession.sparkContext.broadcast(model)
 
+    @trimmed
     def run(batches):
         for whole in batches:
             for batch in slices(whole, text, 1 << 19):
