@@ -14,7 +14,7 @@ one block. The answers are a table in the shared folder that each block's task r
 What goes to the driver is bounded: N, V, and a histogram of the held-out tokens by context frequency and by rounded
 logarithms of the two estimates (mean estimates are kept per cell), on which the weights are learned.
 
-Defined results: a null text is empty and is the one token `end`. Words are hashed to 64 bits, pairs to 54. Without training rows N
+Defined results: a null text is empty and is the one token `end`. Words and pairs are hashed to 64 bits. Without training rows N
 and V are 0 and every token has probability 1 in the base model and in the other. Rows that repeat count and are scored
 each. A null id is kept. Columns of the input other than id and text are not read.
 """
@@ -31,18 +31,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import SPACED, mix, slices, utf8, words
-from .common import crc_fold, scratch_path, stored, table
+from .common import crc_fold, release, scratch_path, stored, table, trimmed
 
 BLOCK_BYTES, SLICE_ENTRIES, BLOCKS_A_FILE = 4 << 20, 2_000_000, 8
 START, END = np.uint64(0x5EED5EED5EED5EED), np.uint64(0xE4D0E4D0E4D0E4D1)
-#: Pairs keep the first 54 bits of their hashes, which travel as six bytes within a slice.
-PAIR_BITS = ~np.uint64(1023)
 BLOCK = "block long, n long, ids array<long>, train binary, offsets binary, data binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 STEP, ITERATIONS = 0.05, 100
 
 
 def _pack(block_bytes: int):
+    @trimmed
     def run(batches):
         held: list = []
         total = 0
@@ -105,7 +104,7 @@ class Block:
         before[1:] = token[:-1]
         before[first] = START
         self.words, _, self.word = distinct(token)
-        pair = mix(before * np.uint64(0x9E3779B97F4A7C15) + token) & PAIR_BITS
+        pair = mix(before * np.uint64(0x9E3779B97F4A7C15) + token)
         self.pairs, at, self.pair = distinct(pair)
         # The context of the first token counts as often as texts end.
         previous = np.empty_like(self.word)
@@ -125,22 +124,19 @@ class Block:
             cuts = np.append(np.searchsorted(values, bounds), len(values))
             for part in np.flatnonzero(np.diff(cuts)).tolist():
                 a, b = cuts[part], cuts[part + 1]
-                yield kind, part, pack_hashes(kind, values[a:b], bounds[part]), pack_counts(count[a:b])
+                yield kind, part, pack_hashes(values[a:b]), pack_counts(count[a:b])
 
 
-def pack_hashes(kind: int, values: np.ndarray, base: np.uint64) -> bytes:
-    """Words as eight bytes, pairs as the six that differ within a slice (at least 16 slices)."""
-    if kind == 1:
-        return values.astype("<u8").tobytes()
-    return np.ascontiguousarray(((values - (base & PAIR_BITS)) >> np.uint64(10)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def pack_hashes(values: np.ndarray) -> bytes:
+    """Sorted hashes as their differences, byte by byte: all lowest bytes, then all next ones, and so on.
 
+    The high bytes of the differences are nearly all zero, so the shuffle's compression takes them away.
+    """
+    return np.diff(values, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
-def unpack_hashes(kind: int, data: bytes) -> np.ndarray:
-    if kind == 1:
-        return np.frombuffer(data, "<u8")
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view("<u8").reshape(-1)
+
+def unpack_hashes(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1), dtype=np.uint64)
 
 
 def pack_counts(count: np.ndarray) -> bytes:
@@ -158,6 +154,7 @@ def _bounds(parts: int) -> np.ndarray:
 
 
 def _asks(parts: int):
+    @trimmed
     def run(batches):
         for row in rows_of(batches):
             rows = [(part, kind, row["block"], h, c) for kind, part, h, c in Block(row).asks(parts)]
@@ -173,7 +170,7 @@ ANSWER = "block long, kind int, part int, totals binary, n long, v long"
 def _answers(asked: pa.Table) -> pa.Table:
     """For each block that asked, what the others count of a slice and kind; and one row with N and V of the slice."""
     kind, part = asked.column("kind")[0].as_py(), asked.column("part")[0].as_py()
-    hashes = [unpack_hashes(kind, x) for x in asked.column("hashes").to_pylist()]
+    hashes = [unpack_hashes(x) for x in asked.column("hashes").to_pylist()]
     counts = [unpack_counts(x, len(h)) for x, h in zip(asked.column("counts").to_pylist(), hashes, strict=True)]
     _, _, inverse = distinct(np.concatenate(hashes))
     total = np.bincount(inverse, np.concatenate(counts)).astype(np.int64)
@@ -182,6 +179,7 @@ def _answers(asked: pa.Table) -> pa.Table:
         out.append(pack_counts(total[inverse[at : at + len(h)]] - c))
         at += len(h)
     n = len(hashes) + 1
+    release()
     columns = [pa.array([*asked.column("block").to_pylist(), None], pa.int64()), pa.array([kind] * n, pa.int32()), pa.array([part] * n, pa.int32()), pa.array([*out, None], pa.binary()), pa.array([None] * (n - 1) + [int(total.sum())], pa.int64()), pa.array([None] * (n - 1) + [int((total > 0).sum())], pa.int64())]
     return pa.table(columns, names=["block", "kind", "part", "totals", "n", "v"])
 
@@ -216,6 +214,7 @@ HISTOGRAM = "context int, p2 int, p1 int, n long, sum2 double, sum1 double"
 def _held_out(shelf: _Shelf, n: int):
     """The histogram of the training tokens of each block, each scored with itself deleted."""
 
+    @trimmed
     def run(batches):
         for row in rows_of(batches):
             block = Block(row)
@@ -266,6 +265,7 @@ def _weights_of(context: np.ndarray, lam: dict[int, tuple]) -> np.ndarray:
 
 
 def _scores(shelf: _Shelf, n: int, v: int, lam: dict):
+    @trimmed
     def run(batches):
         for row in rows_of(batches):
             block = Block(row)
