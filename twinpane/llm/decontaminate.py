@@ -2,17 +2,19 @@
 
 The words of all test items form one automaton. Every document is streamed through it once; the longest match that
 ends at each word says whether a window of an item ends there. Items are dealt into shards of a bounded number of
-words, so one automaton has a bounded size however many items there are; a document passes the shards in turn and
-carries its hits along, without a join.
+words, whose automata are built one after the other on the driver and then kept as flat arrays, some 30 bytes a word.
+A document passes all of them in one scan, without a join. The test set is a stated input: its words, not the corpus,
+decide the memory of a task (about 30 MB a million words, and its vocabulary).
 
 Defined results: null text has no words and no hits. An item that is null or has no words never matches. Items with
-the same id count once. Rows are scored one by one, so repeated rows give repeated results. No items: nothing is hit.
+the same id count once; a null item id is the empty id. An empty table of documents gives an empty result. Rows are scored one by one, so repeated rows give repeated results. No items: nothing is hit.
 A column of the input whose name is that of the result gives way to it.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import ALNUM, slices, utf8, words
-from .common import table, without
+from .common import table, trimmed, without
 
 WINDOW = 13
 SHARD_WORDS = 400_000
@@ -54,14 +56,38 @@ class Automaton:
         self.words = list(hashes)
         for item, ids in enumerate(texts):
             self._mark(item, ids)
-        chain = [False] * len(self.next)
+        chain = bytearray(len(self.next))
         for state in sorted(range(len(self.next)), key=self.length.__getitem__):
             chain[state] = state in self.short_items or (state > 0 and chain[self.link[state]])
         self.has_short = chain
         self.hashes = np.array(sorted(self.vocabulary), np.uint64)
         self.ids = np.array([self.vocabulary[h] for h in self.hashes.tolist()], np.int64)
+        self.vocabulary = {}
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        self._flatten()
+
+    def _flatten(self) -> None:
+        """Arrays instead of dictionaries: most states have one way on, and most windows are of one item."""
+        self.token, self.step, self.many = array("i", [-1]) * len(self.next), array("i", [-1]) * len(self.next), {}
+        for state, ways in enumerate(self.next):
+            if len(ways) == 1:
+                self.token[state], self.step[state] = next(iter(ways.items()))
+            elif ways:
+                self.many[state] = ways
+        self.window_item = array("i", [-1]) * len(self.next)
+        self.window_items = {}
+        for state, found in self.long_items.items():
+            if len(found) == 1:
+                self.window_item[state] = next(iter(found))
+            else:
+                self.window_items[state] = tuple(sorted(found))
+        self.link, self.length = array("i", self.link), array("i", self.length)
+        self.next, self.long_items = [], {}
+
+    def items_of(self, state: int) -> tuple[int, ...]:
+        item = self.window_item[state]
+        return (item,) if item >= 0 else self.window_items.get(state, ())
 
     def _split(self, state: int, token: int, target: int) -> int:
         """The state of the strings of `target` that are no longer than that of `state` plus one."""
@@ -122,21 +148,22 @@ class Automaton:
 
     def stream(self, ids: list[int], base: int, intervals: list[tuple[int, int]], found: set[int]) -> None:
         """Streams words through the automaton; adds (first, last) word of each hit, counted from base, and the items."""
-        window, nexts, links, lengths = self.window, self.next, self.link, self.length
+        window, links, lengths, tokens, steps, many = self.window, self.link, self.length, self.token, self.step, self.many
         state = matched = 0
         for at, token in enumerate(ids):
-            step = nexts[state].get(token)
-            while step is None and state:
+            while True:
+                step = steps[state] if tokens[state] == token else many[state].get(token, -1) if state in many else -1
+                if step >= 0 or not state:
+                    break
                 state = links[state]
                 matched = lengths[state]
-                step = nexts[state].get(token)
-            if step is None:
+            if step < 0:
                 continue
             state = step
             matched += 1
             if matched >= window:
                 intervals.append((base + at - window + 1, base + at))
-                found |= self.long_items[self.of_window(state, window)]
+                found.update(self.items_of(self.of_window(state, window)))
             if self.has_short[state]:
                 up = state
                 while up > 0 and self.has_short[up]:
@@ -162,34 +189,30 @@ def merged(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _scan(batch: pa.RecordBatch, text: str, automaton: Automaton, before: list | None) -> list[dict]:
+def _scan(batch: pa.RecordBatch, text: str, automata: list[Automaton]) -> list[dict]:
     data, offsets = utf8(batch.column(text))
     starts, ends, counts, hashed = words(data, offsets, ALNUM)
     results = [{"n_words": n, "n_hit": 0, "items": [], "hit_words": [], "spans": []} for n in np.diff(counts).tolist()]
-    ids = automaton.lookup(hashed)
-    known = ids >= 0
-    edge = np.zeros(len(known) + 1, bool)
-    edge[:-1] = True
-    edge[1:-1] = known[1:] != known[:-1]
-    edge[counts] = True
-    edge[-1] = True
-    cuts = np.flatnonzero(edge)
-    runs = np.flatnonzero(known[cuts[:-1]] & (np.diff(cuts) >= automaton.least)) if len(known) else np.zeros(0, np.int64)
-    rows = np.searchsorted(counts, cuts[runs], side="right") - 1
     hits: dict[int, tuple[list, set]] = {}
-    for run, row in zip(runs.tolist(), rows.tolist(), strict=True):
-        a, b = int(cuts[run]), int(cuts[run + 1])
-        intervals, found = hits.get(row, ([], set()))
-        automaton.stream(ids[a:b].tolist(), a - int(counts[row]), intervals, found)
-        if found:
-            hits[row] = intervals, found
-    changed = set(hits) | {i for i, old in enumerate(before or []) if old and old["items"]}
-    for row in changed:
-        intervals, found = hits.get(row, ([], set()))
-        names = {automaton.names[i] for i in found}
-        if before and before[row]:
-            intervals = intervals + [(x["first"], x["last"]) for x in before[row]["hit_words"]]
-            names |= set(before[row]["items"])
+    for automaton in automata:
+        ids = automaton.lookup(hashed)
+        known = ids >= 0
+        edge = np.zeros(len(known) + 1, bool)
+        edge[:-1] = True
+        edge[1:-1] = known[1:] != known[:-1]
+        edge[counts] = True
+        edge[-1] = True
+        cuts = np.flatnonzero(edge)
+        runs = np.flatnonzero(known[cuts[:-1]] & (np.diff(cuts) >= automaton.least)) if len(known) else np.zeros(0, np.int64)
+        rows = np.searchsorted(counts, cuts[runs], side="right") - 1
+        for run, row in zip(runs.tolist(), rows.tolist(), strict=True):
+            a, b, found = int(cuts[run]), int(cuts[run + 1]), set()
+            intervals, names = hits.get(row, ([], set()))
+            automaton.stream(ids[a:b].tolist(), a - int(counts[row]), intervals, found)
+            if found:
+                names.update(automaton.names[i] for i in found)
+                hits[row] = intervals, names
+    for row, (intervals, names) in hits.items():
         joined = merged(intervals)
         base, begin = int(counts[row]), int(offsets[row])
         spans, at, points = [], begin, 0
@@ -213,34 +236,34 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, text: str = "text",
     """The columns `keep` of docs (default: all) and a struct `into` with the words, hits, items and spans of each row.
 
     items: hit item ids, sorted as strings; hit_words: runs of hit words, counted from 0; spans: the same in code
-    points, end exclusive. The items are a stated test set; each automaton holds at most about `shard_words` words
-    (or one item), and only one is held at a time.
+    points, end exclusive. Each automaton holds at most about `shard_words` words (or one item).
     """
     spark = docs.sparkSession
-    items = items.select(F.col(item_id).cast("string").alias("id"), F.encode(F.coalesce(item_text, F.lit("")), "UTF-8").alias("text"))
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(1, -(-total // (5 * shard_words)))
+    items = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), F.encode(F.coalesce(item_text, F.lit("")), "UTF-8").alias("text"))
+    held, automata, size = [], [], 0
+    for r in items.orderBy("id", "text").toLocalIterator():
+        held.append((r["id"], bytes(r["text"])))
+        size += len(held[-1][1]) // 5
+        if size >= shard_words:
+            automata.append(spark.sparkContext.broadcast(Automaton(held, window)))
+            held, size = [], 0
+    if held:
+        automata.append(spark.sparkContext.broadcast(Automaton(held, window)))
     keep = [c for c in (keep or docs.columns) if c != into]
-    out = docs.select(*dict.fromkeys([*keep, text]), F.lit(None).cast(RESULT).alias(into))
-    schema = out.select(*keep, into).schema
-    for shard in range(shards):
-        part = items.where(F.pmod(F.xxhash64("id"), F.lit(shards)) == shard)
-        automaton = spark.sparkContext.broadcast(Automaton([(r["id"], bytes(r["text"])) for r in part.toLocalIterator()], window))
-        last = shard == shards - 1
-        out = out.mapInArrow(_scanner(automaton, text, into, keep, last, shard > 0), schema if last else out.schema)
-    return out
+    schema = docs.select(*keep, F.lit(None).cast(RESULT).alias(into)).schema
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(_scanner(automata, text, into, keep), schema)
 
 
-def _scanner(automaton, text: str, into: str, keep: list[str], last: bool, again: bool):
-    kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("hit_words", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+_KIND = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("hit_words", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
+
+def _scanner(automata: list, text: str, into: str, keep: list[str]):
+    @trimmed
     def run(batches):
         for whole in batches:
             for batch in slices(whole, text):
-                before = batch.column(into).to_pylist() if again else None
-                result = pa.array(_scan(batch, text, automaton.value, before), kind)
-                names = keep if last else [c for c in batch.schema.names if c != into]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), result], [*names, into])
+                result = pa.array(_scan(batch, text, [x.value for x in automata]), _KIND)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), result], [*keep, into])
 
     return run
 
