@@ -6,11 +6,13 @@ is max-pooled within each chunk; the largest and the mean of a filter's chunk va
 and one logistic unit combines them into a probability.
 
 Training runs on the driver with Adam on a bounded sample of labelled rows (`sample_rows`, the rows with the smallest
-hashes of their ids; each text whole, up to `sample_bytes` in all). Scoring runs over every whole text, row by row.
+hashes of their ids; each text whole, up to `sample_bytes` in all: a text that would pass this is left out and the next
+ones are tried). Scoring runs over every whole text, row by row; a long one goes through in pieces, of which only the
+maxima of half chunks are held.
 
 Defined results: null text counts as empty, and an empty text has zero features, so its score is that of the bias.
 Rows that repeat are scored alike. With labels of one class only, or none, every score is the (smoothed) share of
-label 1. Labels other than 0 and 1 are not used. Columns of the input with the names of the results give way to them.
+label 1. Labels other than 0 and 1 are not used. An empty table gives an empty result. Columns of the input with the names of the results give way to them.
 """
 
 from __future__ import annotations
@@ -21,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import slices, utf8
-from .common import crc_fold, table
+from .common import crc_fold, table, trimmed
 
 WIDTH, FILTERS, STRIDE = 6, 16, 2
 HALF = 128  # positions in half a chunk: a chunk covers 512 bytes and starts 256 bytes after the one before
 SAMPLE_ROWS, SAMPLE_BYTES = 3000, 24 << 20
+LONG = 1 << 18  # bytes of a text that is scored by itself, in pieces
 
 
 class Network:
@@ -73,6 +76,30 @@ class Network:
         features[filled, FILTERS:] = np.add.reduceat(pooled, starts, axis=0) / chunks[filled][:, None]
         return features, (padded, at, value, edges, top, left, right, pooled, chunks, filled) if keep else None
 
+    def long_features(self, data: np.ndarray, halves_at_once: int = 64) -> np.ndarray:
+        """The features of one text, by pieces of some half chunks."""
+        spots = -(-len(data) // STRIDE)
+        halves = -(-spots // HALF)
+        top = np.empty((halves, FILTERS), self.tables.dtype)
+        for h in range(0, halves, halves_at_once):
+            a, b = h * HALF, min((h + halves_at_once) * HALF, spots)
+            piece = np.zeros((b - a - 1) * STRIDE + WIDTH, np.uint8)
+            some = data[a * STRIDE : a * STRIDE + len(piece)]
+            piece[: len(some)] = some
+            at = np.arange(b - a) * STRIDE
+            value = self.tables[0][piece[at]]
+            for j in range(1, WIDTH):
+                value += self.tables[j][piece[at + j]]
+            value += self.bias
+            top[h : h + halves_at_once] = np.maximum.reduceat(value, np.arange(0, b - a, HALF), axis=0)
+        pooled = np.maximum(np.maximum(top[:-1], top[1:]) if halves > 1 else top, 0)
+        return np.concatenate([pooled.max(0), pooled.sum(0) / len(pooled)])[None, :].astype(self.tables.dtype)
+
+    def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        if len(offsets) == 2 and len(data) > LONG:
+            return self.long_features(data)
+        return self.forward(data, offsets)[0]
+
     def probability(self, features: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(features @ self.weights + self.offset[0], -30, 30).astype(np.float64)))
 
@@ -150,13 +177,13 @@ def train(docs: DataFrame, labels: DataFrame, *, row_id: str = "doc_id", text: s
     bytes_of = F.encode(F.coalesce(text, F.lit("")), "UTF-8")
     rows = docs.select(F.col(row_id).alias("id"), bytes_of.alias("text")).join(picked, "id")
     sizes = rows.groupBy("h").agg(F.sum(F.length("text")).alias("size")).orderBy("h").collect()
-    total, last = 0, None
+    total, fitting = 0, []
     for r in sizes:
-        total += r["size"]
-        if total > sample_bytes:
-            break
-        last = r["h"]
-    got = [] if last is None else rows.where(F.col("h") <= last).collect()
+        if total + r["size"] <= sample_bytes:
+            total += r["size"]
+            fitting.append((r["h"],))
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(fitting, "h long"))  # at most sample_rows
+    got = rows.join(chosen, "h", "left_semi").collect()
     got = sorted(got, key=lambda r: (r["h"], bytes(r["text"]), r["label"]))
     return fit([bytes(r["text"]) for r in got], np.array([r["label"] for r in got], np.float64))
 
@@ -166,11 +193,11 @@ def score(docs: DataFrame, net: Network, *, text: str = "text", keep: list[str]
     keep = [c for c in (keep or docs.columns) if c not in into]
     held = docs.sparkSession.sparkContext.broadcast(net)
 
+    @trimmed
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, text, 1 << 18):
-                features, _ = held.value.forward(*utf8(batch.column(text)))
-                p = held.value.probability(features)
+            for batch in slices(whole, text, LONG):
+                p = held.value.probability(held.value.features(*utf8(batch.column(text))))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*keep, *into])
 
     schema = docs.select(*keep, F.lit(0.0).alias(into[0]), F.lit(0).alias(into[1])).schema
