@@ -3,7 +3,7 @@
 Three base patterns are always reported: assignments of a password, token or key; access identifiers; long hexadecimal
 strings. Weak parts (user names and client ids, other key-like values, mixed tokens, endpoints) are common in clean
 text; one is reported only where complementary parts stand in the same scope: parts of one document, not separated
-by a blank line, at most `reach` code points apart.
+by a blank line. A smaller `reach`, in code points, can be given.
 
 * a weak identifier needs a secret (base or weak),
 * a weak secret needs an identifier (access or weak),
@@ -14,7 +14,8 @@ either side, so its cost is n log n in the parts of a document and no pairs are
 
 Defined results: null text is the empty text and has no spans. Rows are scanned one by one, so repeated rows give
 repeated results. A column of the input whose name is that of the result gives way to it. Spans of a kind never
-overlap; a weak span that overlaps a base span is not reported again.
+overlap; a weak span that overlaps a base span is not reported again. Values run to their ends, however long. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .arrays import slices
 from .common import map_arrow, table, without
 
-REACH = 200
+REACH = 1 << 62  # the whole scope
 KINDS = ("assign", "access", "hex")
 WEAK = ("weakid", "weaksecret", "endpoint")
 SPANS = "array<struct<kind:string,start:int,end:int>>"
@@ -39,8 +40,8 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")  # a run of hex digits is matched whole or, if shorter, not at all
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-_WEAK_ID = re.compile(r"""(?<![A-Za-z0-9])(user(?:_?name)?|login|client_?id|account(?:_?id)?|access_?key(?:_?id)?)["']?\x20{0,4}[:=]\x20{0,4}["']?([A-Za-z0-9._@+-]{3,128})""", _AI)
-_WEAK_SECRET = re.compile(r"""(?<![A-Za-z0-9])(pass|pwd|key|auth|credentials?|signature)["']?\x20{0,4}[:=]\x20{0,4}["']?([A-Za-z0-9+/_.=-]{6,})""", _AI)
+_WEAK_ID = re.compile(r"""(?<![A-Za-z0-9])(user(?:_?name)?|login|client_?id|account(?:_?id)?|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@+-]{3,})""", _AI)
+_WEAK_SECRET = re.compile(r"""(?<![A-Za-z0-9])(pass|pwd|key|auth|credentials?|signature)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{6,})""", _AI)
 _MIXED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}")
 _ENDPOINT = re.compile(r"""(?:(?:https?|ftp|ssh|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s"'<>]+|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?(?![0-9.]))""", _AI)
 _SCOPE = re.compile(r"\n[ \t\r]*\n")
