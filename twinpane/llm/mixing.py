@@ -11,7 +11,8 @@ size: it broadcasts them only under its threshold and else joins by sorting, whe
 
 Defined results: null text is empty; rows without words take nothing; a null source is a source of its own, last in
 order; a null id hashes as the empty text; rows with the same id are taken or left together, each with its own size.
-An empty table gives an empty result. Columns of the input with the names of the results give way to them.
+An empty table gives an empty result. Columns of the input with the names of the results give way to them. The targets
+are computed over one row a source, in one task: sources are named parts of a mix, not hosts by the million.
 """
 
 from __future__ import annotations
@@ -68,7 +69,7 @@ def thresholds(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFram
     at = goals.select("source", "need", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("base"))
     for level in range(1, LEVELS + 1):
         shift = BITS * (LEVELS - level)
-        rows = sized.select("source", "size", F.shiftright("hash", shift + BITS).alias("above"), F.shiftright("hash", shift).alias("bucket"))
+        rows = sized.select("source", "size", F.shiftright("_mix_hash", shift + BITS).alias("above"), F.shiftright("_mix_hash", shift).alias("bucket"))
         a, b = rows.alias("a"), at.alias("b")
         inside = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.above") == F.col("b.prefix")))
         sums = inside.groupBy("a.source", "b.need", "b.base", "a.bucket").agg(F.sum("a.size").alias("words"))
@@ -85,22 +86,22 @@ def thresholds(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFram
 def take(sized: DataFrame, cuts: DataFrame) -> DataFrame:
     """The columns of sized but `hash`, with source_size, target and taken of each row."""
     s, c = sized.drop("source_size", "target", "taken").alias("s"), cuts.alias("c")
-    part = F.when(F.col("s.hash") < F.col("c.threshold"), F.col("c.copies") + 1).otherwise(F.col("c.copies"))
-    kept = [F.col(f"s.{x}") for x in s.columns if x != "hash"]
+    part = F.when(F.col("s._mix_hash") < F.col("c.threshold"), F.col("c.copies") + 1).otherwise(F.col("c.copies"))
+    kept = [F.col(f"s.{x}") for x in s.columns if x != "_mix_hash"]
     return s.join(c, F.col("s.source").eqNullSafe(F.col("c.source"))).select(*kept, "c.source_size", "c.target", (F.col("s.size") * part).alias("taken"))
 
 
 def sized(docs: DataFrame, *, row_id: str = "doc_id", text: str = "text", source: str = "source", keep: list[str]) -> DataFrame:
     """The columns `keep` and source, size and hash of every row."""
-    kept = [c for c in keep if c not in ("source", "hash", *RESULTS)]
-    return docs.select(*kept, F.col(source).alias("source"), word_count(text).alias("size"), row_hash(row_id).alias("hash"))
+    kept = [c for c in keep if c not in ("source", "_mix_hash", *RESULTS)]
+    return docs.select(*kept, F.col(source).alias("source"), word_count(text).alias("size"), row_hash(row_id).alias("_mix_hash"))
 
 
 def mix(docs: DataFrame, *, row_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """docs with size, source_size, target and taken; taken words over size words is the number of copies of a row."""
     narrow = stored(sized(docs, row_id=row_id, text=text, source=source, keep=[]), "mix-sizes")
     cuts = thresholds(narrow, weights)
-    return take(sized(docs, row_id=row_id, text=text, source=source, keep=without(docs, ["hash", *RESULTS])), cuts)
+    return take(sized(docs, row_id=row_id, text=text, source=source, keep=without(docs, ["_mix_hash", *RESULTS])), cuts)
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
