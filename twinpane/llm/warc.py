@@ -28,7 +28,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_path, stored, table
+from .common import marked, scratch_path, stored, table
 
 FILE_BYTES, RUN_BYTES, GAP_BYTES = 64 << 20, 8 << 20, 64 << 10
 INDEX = "page_id long, url string, file string, offset long, length long, payload_digest string, record_type string, refers_to long"
@@ -79,10 +79,12 @@ def write_archives(pages: DataFrame, *, page_id: str = "page_id", url: str = "ur
     marks = read.select("page_id", F.sha1("payload").alias("sha"), F.length("payload").cast("long").alias("size")).where(F.col("size") >= min_bytes)
     repeats = marks.groupBy("sha", "size").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1 and first is not null")
     repeats = stored(repeats.select("sha", "size", "first"), "warc-repeats")
-    a, b = read.withColumn("sha", F.sha1("payload")).alias("a"), repeats.alias("b")
-    typed = a.join(b, (F.col("a.sha") == F.col("b.sha")) & (F.length("a.payload") == F.col("b.size")), "left")
+    # Pages whose payload stands once go straight to the archives; only repeats are joined.
+    told = marked(read.withColumn("sha", F.sha1("payload")).withColumn("size", F.length("payload").cast("long")), repeats, ["sha", "size"], "maybe")
+    alone = told.where("not maybe").select("page_id", "url", F.lit(None).cast("long").alias("refers_to"), "payload")
+    met = told.where("maybe").join(repeats, ["sha", "size"], "left")
     refers = F.when(F.col("first") != F.col("page_id"), F.col("first"))
-    typed = typed.select("page_id", "url", F.when(F.col("page_id").isNull(), None).otherwise(refers).alias("refers_to"), "payload")
+    typed = alone.unionByName(met.select("page_id", "url", F.when(F.col("page_id").isNull(), None).otherwise(refers).alias("refers_to"), "payload"))
     folder = scratch_path(spark, "warc")
 
     def write(batches):
