@@ -2,6 +2,11 @@
 
 Language identification, near-duplicate removal, benchmark decontamination, secret redaction, mixing to target weights.
 A stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept.
+
+Defined results: rows with null or empty texts have no language and go in the first stage. Null ids, repeated ids and
+other null columns are kept like any values; rows that repeat id and text count as copies. Texts are whole, however long.
+An empty table gives an empty result. Extra columns travel to the end, but those named size, source_size, target or taken
+give way to the last stage's results.
 """
 
 from __future__ import annotations
@@ -11,28 +16,26 @@ from pyspark.sql import functions as F
 
 from twinpane.llm.common import scratch_path, table
 from twinpane.llm.decontaminate import decontaminate
-from twinpane.llm.jaccard import near_duplicates
+from twinpane.llm.jaccard import deduplicate
 from twinpane.llm.language import UNDETERMINED, identify, learn
 from twinpane.llm.mixing import mix
 from twinpane.llm.secrets import redact
 
 #: A language below this probability counts as not recognised.
 LEAST_SCORE = 0.5
+LANG, SCORE = "_pipeline_lang", "_pipeline_score"
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; texts that are null, have no letter or are in doubt go."""
-    found = identify(docs, learn(docs), into=("_lang_pred", "_lang_score"))
-    kept = found.where((F.col("_lang_pred") != UNDETERMINED) & (F.col("_lang_score") >= LEAST_SCORE))
-    return kept.drop("_lang_pred", "_lang_score")
+    found = identify(docs, learn(docs), into=(LANG, SCORE))
+    kept = found.where((F.col(LANG) != UNDETERMINED) & (F.col(SCORE) >= LEAST_SCORE))
+    return kept.drop(LANG, SCORE)
 
 
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id; rows that repeat it whole go too."""
-    found = near_duplicates(docs)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.alias("d").join(first.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    """One row of each group of near duplicates: that with the smallest id."""
+    return deduplicate(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
