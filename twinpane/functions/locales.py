@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from .arrays import let
 from .text import ascii_lower
 
 SHAPE = "^([A-Za-z]{2,3})([-_])([A-Za-z]{2}|[0-9]{3})$"
@@ -16,6 +17,10 @@ def known_codes(spark: SparkSession) -> tuple[list[str], list[str]]:
     return sorted(x for x in locale.getISOLanguages() if len(x) == 2), sorted(locale.getISOCountries())
 
 
+def _listed(codes: list[str], code: Column) -> Column:
+    return F.array_contains(F.split(F.lit(",".join(codes)), ","), code)
+
+
 def detect(path: Column, languages: list[str], regions: list[str]) -> Column:
     """The first of the first two path segments that looks like a locale, with what is wrong about it; null if none does.
 
@@ -23,21 +28,28 @@ def detect(path: Column, languages: list[str], regions: list[str]) -> Column:
     lower, region upper) and for known codes.
     """
     segments = F.slice(F.filter(F.split(path, "/"), lambda s: s != ""), 1, 2)
-    bare = lambda s: s.rlike("^[A-Za-z]{2}$") & ascii_lower(s).isin(*languages)
-    segment = F.get(F.filter(segments, lambda s: s.rlike(SHAPE) | bare(s)), F.lit(0))
+    bare = lambda s: s.rlike("^[A-Za-z]{2}$") & _listed(languages, ascii_lower(s))
+    return let(F.get(F.filter(segments, lambda s: s.rlike(SHAPE) | bare(s)), F.lit(0)), lambda s: _judged(s, languages, regions))
+
+
+def _judged(segment: Column, languages: list[str], regions: list[str]) -> Column:
     both = segment.rlike(SHAPE)
-    language = F.when(both, F.regexp_extract(segment, SHAPE, 1)).otherwise(segment)
-    region, separator = F.regexp_extract(segment, SHAPE, 3), F.regexp_extract(segment, SHAPE, 2)
-    lower, upper = ascii_lower(language), F.upper(region)
-    language_known = (F.length(language) == 2) & lower.isin(*languages)
-    region_known = region.rlike("^[0-9]{3}$") | upper.isin(*regions)
-    return F.when(
-        segment.isNotNull(),
-        F.struct(
-            segment.alias("segment"),
-            (both & (separator == "_")).alias("separator_invalid"),
-            ((language != lower) | (both & (region != upper))).alias("case_invalid"),
-            (both & ~(language_known & region_known)).alias("unknown"),
-            F.when(both, F.concat(lower, F.lit("-"), upper)).otherwise(lower).alias("corrected"),
-        ),
-    )
+    parts = F.struct(F.when(both, F.regexp_extract(segment, SHAPE, 1)).otherwise(segment).alias("language"), F.regexp_extract(segment, SHAPE, 3).alias("region"), F.regexp_extract(segment, SHAPE, 2).alias("separator"), both.alias("both"))
+
+    def of(p):
+        language, region, both = p["language"], p["region"], p["both"]
+        lower, upper = ascii_lower(language), F.upper(region)
+        known = F.struct(((F.length(language) == 2) & _listed(languages, lower)).alias("language"), (region.rlike("^[0-9]{3}$") | _listed(regions, upper)).alias("region"))
+        return let(
+            known,
+            lambda k: F.struct(
+                segment.alias("segment"),
+                (both & (p["separator"] == "_")).alias("separator_invalid"),
+                ((language != lower) | (both & (region != upper))).alias("case_invalid"),
+                (both & ~(k["language"] & k["region"])).alias("unknown"),
+                F.when(both, F.concat(lower, F.lit("-"), upper)).otherwise(lower).alias("corrected"),
+                F.when(both & ~k["language"], language).when(both & ~k["region"], region).alias("unknown_subtag"),
+            ),
+        )
+
+    return F.when(segment.isNotNull(), let(parts, of))

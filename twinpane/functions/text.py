@@ -107,6 +107,13 @@ def content_id(prefix: str, *fields: Column) -> Column:
     return F.concat(F.lit(f"{prefix}_"), F.substring(F.sha2(joined, 256), 1, 12))
 
 
+def truncate_bytes(c: Column, most: int = 80) -> Column:
+    """The longest beginning of at most so many bytes of UTF-8 that ends at a character."""
+    sizes = F.sequence(F.lit(most // 4), F.lit(most))
+    cut = F.array_max(F.filter(sizes, lambda k: F.octet_length(F.substring(c, F.lit(1), k)) <= most))
+    return F.when(F.octet_length(c) <= most, c).otherwise(F.substring(c, F.lit(1), cut))
+
+
 def wildcard_match(value: Column, pattern: Column) -> Column:
     """Equal, or a prefix if the pattern ends in an asterisk."""
     return F.when(pattern.endswith("*"), F.startswith(value, F.regexp_replace(pattern, "\\*$", ""))).otherwise(value == pattern)

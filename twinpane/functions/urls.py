@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let
 from .text import ascii_lower
 
 #: Query parameters whose values are credentials (fixed values).
@@ -55,40 +56,55 @@ def without_fragment(url: Column) -> Column:
 
 def resolve(href: Column, base: Column) -> Column:
     """Absolute and root-relative references against a base; others below the base's directory."""
-    home = F.concat(scheme(base), F.lit("://"), authority(base))
-    return (
-        F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href)
-        .when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(home, href))
-        .when(href.startswith("?"), F.concat(home, path(base), href))
-        .otherwise(F.concat(home, page_dir(base), href))
-    )
+
+    def below(b):
+        home = F.concat(b["scheme"], F.lit("://"), b["host"])
+        return F.when(href.startswith("//"), F.concat(b["scheme"], F.lit(":"), href)).when(href.startswith("/"), F.concat(home, href)).when(href.startswith("?"), F.concat(home, path(base), href)).otherwise(F.concat(home, page_dir(base), href))
+
+    return F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href).otherwise(let(F.struct(scheme(base).alias("scheme"), authority(base).alias("host")), below))
 
 
 def norm_href(href: Column, page: Column) -> Column:
     """Path and query on the page's own host, else the absolute URL; fragments go; empty and fragment-only stay."""
     h = F.trim(href)
-    whole = without_fragment(resolve(h, page))
-    return F.when((h == "") | h.startswith("#"), h).when(host(whole) == host(page), path_query(whole)).otherwise(whole)
+    inside = lambda whole: F.when((h == "") | h.startswith("#"), h).when(host(whole) == host(page), path_query(whole)).otherwise(whole)
+    return let(without_fragment(resolve(h, page)), inside)
 
 
 def norm_href_cross_origin(href: Column, page: Column, other: Column) -> Column:
     """As norm_href, but absolute URLs on either page's origin become path and query."""
     h = F.trim(href)
-    own = origin(h) != ""
-    return F.when(own & ((origin(h) == origin(page)) | (origin(h) == origin(other))), path_query(without_fragment(h))).otherwise(norm_href(href, page))
+    either = let(origin(h), lambda own: (own != "") & ((own == origin(page)) | (own == origin(other))))
+    return F.when(either, path_query(without_fragment(h))).otherwise(norm_href(href, page))
+
+
+def _href_sim(a: Column, b: Column, x: Column, y: Column) -> Column:
+    known = lambda v: F.when((a == b) | (v["x"] == v["y"]), 1.0).when(path_query(v["x"]) == path_query(v["y"]), 0.9).when(path(v["x"]) == path(v["y"]), 0.7).otherwise(0.0)
+    return F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(let(F.struct(x.alias("x"), y.alias("y")), known))
 
 
 def href_sim(a: Column, b: Column, page_a: Column, page_b: Column) -> Column:
-    x, y = norm_href_cross_origin(a, page_a, page_b), norm_href_cross_origin(b, page_b, page_a)
-    return (
-        F.when(a.isNull() & b.isNull(), 1.0)
-        .when(a.isNull() | b.isNull(), 0.0)
-        .when((a == b) | (x == y), 1.0)
-        .when(path_query(x) == path_query(y), 0.9)
-        .when(path(x) == path(y), 0.7)
-        .otherwise(0.0)
-    )
+    """References compared as they resolve on their own pages: the same, the same path and query, the same path."""
+    return _href_sim(a, b, norm_href(a, page_a), norm_href(b, page_b))
+
+
+def href_sim_cross_origin(a: Column, b: Column, page_a: Column, page_b: Column) -> Column:
+    """As href_sim, but links to either page's origin count as links within the page's site."""
+    return _href_sim(a, b, norm_href_cross_origin(a, page_a, page_b), norm_href_cross_origin(b, page_b, page_a))
+
+
+def registrable(host_name: Column) -> Column:
+    """The last two labels of a host, or three where the last two are a common public suffix pair."""
+    labels = F.split(host_name, "\\.")
+    pair = F.get(labels, F.size(labels) - 2).isin("co", "com", "net", "org", "ac", "gov", "edu") & (F.length(F.get(labels, F.size(labels) - 1)) == 2)
+    n = F.when(pair, 3).otherwise(2)
+    return F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), n), ".")
+
+
+def probe_reason(url: Column, page: Column) -> Column:
+    """Why a capture may not probe a URL: its scheme, a private address, another registrable domain; null if it may."""
+    reason = egress_reason(url, page)
+    return F.when(reason.isin("scheme", "private"), reason).when(registrable(host(url)) != registrable(host(page)), "external")
 
 
 def page_dir(url: Column) -> Column:

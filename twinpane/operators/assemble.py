@@ -51,8 +51,10 @@ def suffixed(issues: DataFrame, by: list[str]) -> DataFrame:
     return issues.withColumn("n", n).withColumn("id", F.when(F.col("n") > 1, F.concat_ws("-", "id", F.col("n").cast("string"))).otherwise(F.col("id"))).drop("n")
 
 
-def strength(text: Column, href: Column, landmark: Column) -> Column:
-    return F.when(F.coalesce(non_empty(text), non_empty(href)).isNotNull(), "high").when(non_empty(landmark).isNotNull(), "medium").otherwise("low")
+def strength(text: Column, href: Column, landmark: Column, alt: Column | None = None, aria: Column | None = None, heading: Column | None = None) -> Column:
+    """How well anchors tell an element: by itself, by what is near it, or not."""
+    known = lambda *columns: F.coalesce(*(non_empty(c) for c in columns if c is not None)).isNotNull()
+    return F.when(known(text, href, alt, aria), "high").when(known(heading, landmark), "medium").otherwise("low")
 
 
 def fix_value(severity: Column, confidence: Column, anchor: Column) -> Column:

@@ -5,6 +5,9 @@ Tables carry (pair_id, viewport, side); pairs of nodes are (pair_id, viewport, o
 
 from __future__ import annotations
 
+import struct
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -15,6 +18,8 @@ from ..functions import css, urls
 PAIR = ["pair_id", "viewport"]
 LEAST_POINTS, OLD_SHARE, DROP = 9, 0.9, 0.1
 CELL, MIN_AREA, MAX_DELTA, THRESHOLD = 16, 2500, 35215.0, 0.1
+#: Weights of red, green and blue in luma and chroma (fixed values).
+LUMA = ((0.29889531, 0.58662247, 0.11448223), (0.59597799, -0.27417610, -0.32180189), (0.21147017, -0.52261711, 0.31114694))
 
 
 def sides(table: DataFrame, side: str, names: dict[str, str]) -> DataFrame:
@@ -82,9 +87,7 @@ def changed_pixels(old: np.ndarray, new: np.ndarray, threshold: float = THRESHOL
     h, w = min(old.shape[0], new.shape[0]), min(old.shape[1], new.shape[1])
     flat = lambda x: np.trunc(255 + (x[:h, :w, :3].astype(float) - 255) * (x[:h, :w, 3:4] / 255))
     r, g, b = np.moveaxis(flat(old) - flat(new), 2, 0)
-    y = 0.29889531 * r + 0.58662247 * g + 0.11448223 * b
-    i = 0.59597799 * r - 0.27417610 * g - 0.32180189 * b
-    q = 0.21147017 * r - 0.52261711 * g + 0.31114694 * b
+    y, i, q = (wr * r + wg * g + wb * b for wr, wg, wb in LUMA)
     return 0.5053 * y * y + 0.299 * i * i + 0.1957 * q * q > MAX_DELTA * threshold * threshold
 
 
@@ -117,6 +120,60 @@ def regions_of(changed: np.ndarray, cell: int = CELL, least: int = MIN_AREA) ->
     return sorted(out, key=lambda r: (r[1], r[0]))
 
 
+def visual_summary(rasters: DataFrame) -> DataFrame:
+    """One row a pair of rasters: the share of pixels that changed, the area compared, both heights, and the regions by y and x."""
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for r in frame.itertuples():
+                old, new = (np.frombuffer(d, np.uint8).reshape(h, w, 4) for d, h, w in ((r.old_data, r.old_h, r.old_w), (r.new_data, r.new_h, r.new_w)))
+                changed = changed_pixels(old, new)
+                found = [dict(zip(("x", "y", "w", "h", "pixels"), x)) for x in regions_of(changed)]
+                rows.append((r.pair_id, r.viewport, float(changed.mean()) if changed.size else 0.0, float(changed.size), r.old_h, r.new_h, found))
+            yield pd.DataFrame(rows, columns=["pair_id", "viewport", "ratio", "area", "old_h", "new_h", "regions"])
+
+    return rasters.mapInPandas(run, "pair_id string, viewport string, ratio double, area double, old_h int, new_h int, regions array<struct<x:int,y:int,w:int,h:int,pixels:long>>")
+
+
+def diff_image(old: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """The new raster faded to grey, with changed pixels in red; of the common size."""
+    changed = changed_pixels(old, new)
+    h, w = changed.shape
+    grey = (255 - (255 - new[:h, :w, :3].astype(float).mean(2)) * 0.1).astype(np.uint8)
+    out = np.dstack([grey, grey, grey, np.full((h, w), 255, np.uint8)])
+    out[changed] = (255, 0, 0, 255)
+    return out
+
+
+def crop(raster: np.ndarray, x: int, y: int, w: int, h: int, pad: int = 8) -> np.ndarray:
+    return raster[max(0, y - pad) : y + h + pad, max(0, x - pad) : x + w + pad]
+
+
+def png(raster: np.ndarray) -> bytes:
+    """RGBA pixels as a PNG file."""
+    h, w = raster.shape[:2]
+    lines = np.concatenate([np.zeros((h, 1), np.uint8), np.ascontiguousarray(raster).reshape(h, w * 4)], axis=1)
+    part = lambda tag, data: struct.pack(">I", len(data)) + tag + data + struct.pack(">I", zlib.crc32(tag + data))
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 6, 0, 0, 0)) + part(b"IDAT", zlib.compress(lines.tobytes())) + part(b"IEND", b"")
+
+
+def crops(rasters: DataFrame, issues: DataFrame) -> DataFrame:
+    """(pair_id, viewport, name, data): PNG crops of the old, new and diff raster for every visual issue, named by its id."""
+    boxes = issues.where("type = 'visual_region_changed'").groupBy(*PAIR).agg(F.collect_list(F.struct("id", F.col("bbox_old").alias("box"))).alias("boxes"))
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for r in frame.itertuples():
+                old, new = (np.frombuffer(d, np.uint8).reshape(h, w, 4) for d, h, w in ((r.old_data, r.old_h, r.old_w), (r.new_data, r.new_h, r.new_w)))
+                shown = {"old": old, "new": new, "diff": diff_image(old, new)}
+                rows += [(r.pair_id, r.viewport, f"{b['id']}_{name}.png", png(crop(image, *map(int, b["box"])))) for b in r.boxes for name, image in shown.items()]
+            yield pd.DataFrame(rows, columns=["pair_id", "viewport", "name", "data"])
+
+    return rasters.join(boxes, PAIR).mapInPandas(run, "pair_id string, viewport string, name string, data binary")
+
+
 def visual_regions(rasters: DataFrame) -> DataFrame:
     """(pair_id, viewport, ratio, x, y, w, h, pixels) of rasters (pair_id, viewport, old_w, old_h, old_data, new_w, ...), RGBA bytes.
 

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+LEAST_MOVE = 2
+
+
 def ranks(pairs: DataFrame) -> DataFrame:
     """Pairs (group, id, old_pos, new_pos) with their ranks on either side, from 0."""
     rank = lambda c: F.row_number().over(Window.partitionBy("grp").orderBy(c, "id")) - 1
@@ -53,6 +56,23 @@ def longest_increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
+def moves(order: list[int], least: int = LEAST_MOVE) -> dict:
+    """Of new ranks in old order: blocks that swapped places, then blocks outside the longest run that moved more than `least`, with the stable ones around them."""
+    cuts = [0, *(i for i in range(1, len(order)) if order[i] != order[i - 1] + 1), len(order)]
+    blocks = [{"start": a, "size": b - a, "at": order[a]} for a, b in zip(cuts, cuts[1:])]
+    place = {i: r for r, i in enumerate(sorted(range(len(blocks)), key=lambda i: (blocks[i]["at"], blocks[i]["start"])))}
+    swapped = [(i, place[i]) for i in range(len(blocks)) if place[i] > i and place[place[i]] == i]
+    rest = [i for i in range(len(blocks)) if i not in {x for pair in swapped for x in pair}]
+    stable = set(longest_increasing([place[i] for i in rest])) if len(rest) > 1 else set(range(len(rest)))
+    moved = []
+    for k, i in enumerate(rest):
+        if k not in stable and abs(blocks[i]["start"] - blocks[i]["at"]) > least:
+            before = next((rest[j] for j in range(k - 1, -1, -1) if j in stable), None)
+            after = next((rest[j] for j in range(k + 1, len(rest)) if j in stable), None)
+            moved.append({"block": blocks[i], "before": None if before is None else blocks[before], "after": None if after is None else blocks[after]})
+    return {"swaps": [{"a": blocks[i], "b": blocks[j]} for i, j in swapped], "moves": moved}
+
+
 def stable_blocks(ordered: DataFrame) -> DataFrame:
     """ordered with `stable`: does the block belong to the longest run of blocks in order? One group is one page."""
 

@@ -371,7 +371,7 @@ def f36_p23_redacted_urls(spark, sf_dir):
 def f37_locale_validation(spark, sf_dir):
     codes = locales.known_codes(spark)
     found = pairs.meta(spark, sf_dir)[1].select("page_id", locales.detect(urls.path(F.col("url")), *codes).alias("l"))
-    return found.where("l is not null").select("page_id", "l.*")
+    return found.where("l is not null").select("page_id", "l.*").drop("unknown_subtag")
 
 
 @query("SELECT page_id, substr(html, 1, 300) AS raw, replace(replace(replace(replace(replace(substr(html, 1, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS safe FROM pages")
