@@ -22,6 +22,11 @@ def _listed(codes: list[str], code: Column) -> Column:
 
 
 def detect(path: Column, languages: list[str], regions: list[str]) -> Column:
+    """As judged(), without the part that is unknown."""
+    return judged(path, languages, regions).dropFields("unknown_subtag")
+
+
+def judged(path: Column, languages: list[str], regions: list[str]) -> Column:
     """The first of the first two path segments that looks like a locale, with what is wrong about it; null if none does.
 
     A bare language counts only if it is known; a language with a region is checked for its separator, its case (language

@@ -705,7 +705,7 @@ def page_hygiene(languages: list[str], regions: list[str], policy: str = "never"
             when((urls.scheme(old) == "https") & (urls.scheme(new) == "http"), downgrade_finding(old, new, say("Protocol downgrade: old={} new={}", old, new), path, "New page uses HTTP where old page used HTTPS. Update to HTTPS.")),
             when(apart, off),
         ),
-        let(locales.detect(urls.path(new), languages, regions), locale_findings),
+        let(locales.judged(urls.path(new), languages, regions), locale_findings),
     )
 
 

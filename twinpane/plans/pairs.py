@@ -39,6 +39,7 @@ def new_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.when(p % 17 == 1, F.regexp_replace(html, "(?s)<li>.*?</li>", "")).otherwise(html)
     html = F.when(p % 19 == 1, F.regexp_replace(html, '(?s)(<div class="ad">[^<]*</div>)(.*</article>)', "$2$1")).otherwise(html)
     html = F.when(p % 53 == 1, F.replace(html, F.lit("</head>"), F.lit('<link rel="canonical" href="https://example.org/other"></head>'))).otherwise(html)
+    html = F.when(p % 35 == 0, F.replace(html, F.lit("</article>"), F.lit("<p>Added words.</p></article>"))).otherwise(html)
     url = (
         F.when(p % 11 == 1, F.regexp_replace(u, "^https:", "http:"))
         .when(p % 11 == 2, F.regexp_replace(u, "^([^?#]*)", "$1/"))
@@ -245,7 +246,8 @@ changed AS (
 ),
 emptied AS (SELECT page_id, url, CASE WHEN page_id % 17 = 1 THEN regexp_replace(html, '(?s)<li>.*?</li>', '', 'g') ELSE html END AS html, status FROM changed),
 shifted AS (SELECT page_id, url, CASE WHEN page_id % 19 = 1 THEN regexp_replace(html, '(?s)(<div class="ad">[^<]*</div>)(.*</article>)', '\2\1') ELSE html END AS html, status FROM emptied),
-new_pages AS (SELECT page_id, url, CASE WHEN page_id % 53 = 1 THEN replace(html, '</head>', '<link rel="canonical" href="https://example.org/other"></head>') ELSE html END AS html, status FROM shifted),"""
+longer AS (SELECT page_id, url, CASE WHEN page_id % 35 = 0 THEN replace(html, '</article>', '<p>Added words.</p></article>') ELSE html END AS html, status FROM shifted),
+new_pages AS (SELECT page_id, url, CASE WHEN page_id % 53 = 1 THEN replace(html, '</head>', '<link rel="canonical" href="https://example.org/other"></head>') ELSE html END AS html, status FROM longer),"""
     + ",".join(_SIDE.replace("{s}", s) for s in ("old", "new"))
     + r""",
 meta AS (SELECT o.page_id, o.url AS o_url, n.url AS n_url, o.title AS o_title, n.title AS n_title, o.status AS o_status, n.status AS n_status FROM old_meta o JOIN new_meta n USING (page_id)),
