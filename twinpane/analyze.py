@@ -19,9 +19,9 @@ from .functions import locales
 from .operators import channels, issues, report
 from .operators.issues import Options
 from .operators.pairing import PAIR
-from .sources.bundles import read_baseline, read_bundles, read_severity_map
+from .sources.bundles import read_baseline, read_bundles, read_severity_map, write_bundles
 
-__all__ = ["Found", "Options", "analyze", "explain", "probe_plan", "read_bundles", "read_results", "self_check", "show", "with_files", "write_results"]
+__all__ = ["Found", "Options", "analyze", "explain", "probe_plan", "read_bundles", "read_results", "self_check", "show", "with_files", "write_bundles", "write_results", "write_self_check"]
 
 
 @dataclass(frozen=True)
@@ -81,6 +81,11 @@ def self_check(bundles: DataFrame, options: Options = Options()) -> DataFrame:
     return found.select("pair_id", "document", told.alias("warning"))
 
 
+def write_self_check(checked: DataFrame, folder: str) -> None:
+    """The documents of self_check, one text file a pair below folder/pair_id=..."""
+    checked.select("pair_id", F.col("document").alias("value")).repartition("pair_id").write.partitionBy("pair_id").text(folder)
+
+
 def probe_plan(nodes: DataFrame, pages: DataFrame, most: int = 50) -> DataFrame:
     """(*PAIR, side, url, skipped): the distinct links of each page by URL, those out of scope or above the cap with the reason."""
     from pyspark.sql import Window

@@ -1,7 +1,8 @@
 """Detectors over matched page pairs: each gives an array of findings, made inside the row of its pair.
 
-A finding is what one detector says about one element or page; sev, confidence factors and id come later, the same way
-for all of them (operators.issues). Evidence and remediation are JSON text with members in order of their names.
+A finding is what one detector says about one element or page; severity, confidence factors and id come later, the same
+way for all of them (operators.issues). Types, goals, actions, member names, messages and notes are fixed values, as
+readers of results look for them. Evidence and remediation are JSON text with members in order of their names.
 
 Rows are those of pairing.matched(): old, new (captures), o_nodes, n_nodes, pairs, missing.
 """

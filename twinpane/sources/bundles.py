@@ -111,3 +111,10 @@ def read_severity_map(spark: SparkSession, path: str, types: list[str], properti
     rows = raw.select(F.lit("types").alias("scope"), F.explode("types").alias("key", "severity")).unionByName(raw.select(F.lit("properties").alias("scope"), F.explode("properties").alias("key", "severity")))
     known = F.when(F.col("scope") == "types", F.col("key").isin(*types)).otherwise(F.col("key").isin(*properties)) & F.col("severity").isin("info", "warning", "error", "critical")
     return rows.where(F.when(known, True).otherwise(F.raise_error(F.concat(F.lit("unknown entry of the severity map: "), F.col("key"))).cast("boolean")))
+
+
+def write_bundles(bundles: DataFrame, folder: str) -> None:
+    """Captures as JSON below folder/pair_id=.../side=.../viewport=..., one document a file's line."""
+    inner = [c for c in bundles.columns if c not in ("pair_id", "side")]
+    rows = bundles.select("pair_id", "side", F.col("viewport.name").alias("view"), F.to_json(F.struct(*inner)).alias("value"))
+    rows.repartition("pair_id", "side", "view").write.partitionBy("pair_id", "side", "view").text(folder)
