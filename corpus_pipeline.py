@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinpane.llm.common import scratch_path, table
+from twinpane.llm.common import stored, table
 from twinpane.llm.decontaminate import decontaminate
 from twinpane.llm.jaccard import deduplicate
 from twinpane.llm.language import UNDETERMINED, identify, learn
@@ -69,7 +69,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in turn, from the table of documents; every result but the last is written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = scratch_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

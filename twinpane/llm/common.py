@@ -40,11 +40,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/twinpane/{name}-{uuid.uuid4().hex}"
 
 
+#: Hadoop sets the mode of each local file, its checksum file and its folder by a `chmod` process, and until such a child
+#: runs its own program, it counts the whole memory of its JVM again. Plain files spare the checksum files; Parquet's own
+#: checksums, of every page, are verified instead. Folders of other schemes ignore the options of PLAIN_FILES.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "parquet.page.write-checksum.enabled": "true"}
+VERIFIED = {"parquet.page.verify-checksum.enabled": "true"}
+
+
 def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """The frame as a table in the shared folder: it cuts lineage, survives lost executors and has a known size."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path, compression=compression)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.options(**PLAIN_FILES).parquet(path, compression=compression)
+    return df.sparkSession.read.schema(df.schema).options(**VERIFIED).parquet(path)
 
 
 def drop_tables(spark: SparkSession, *frames: DataFrame) -> None:
