@@ -3,6 +3,8 @@ import re
 import zlib
 from collections import Counter
 
+import pyarrow as pa
+import pyarrow.dataset
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +90,37 @@ def test_whole_table_and_held_out_likelihood(spark):
     assert sum(r[6] for r in held) > sum(r[5] for r in held)
 
 
+def test_spark_rows_hold_no_texts(spark):
+    texts = [f"word{i} " * 500 for i in range(200)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    found = lm.score_corpus(frame, F.lit(True), block_bytes=8000)
+    kept = spark.read.parquet(*found.inputFiles())
+    assert "binary" not in {kind for _, kind in kept.dtypes}
+    assert kept.agg(F.sum("size")).first()[0] == sum(map(len, texts))
+    assert kept.count() * lm.BLOCKS_A_FILE * 8000 < 2 * sum(map(len, texts))
+    assert found.count() == 200
+
+
+def test_answers_of_a_file_are_read_once(tmp_path, monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": ["a b", "b c", "c"], "train": [True, True, True]})
+    files = list(lm._pack(f"file://{tmp_path}/texts", 3)([batch]))
+    assert [x.num_rows for x in files] == [1]
+    asked = [x for y in lm._asks(f"file://{tmp_path}/texts", 1)(files) for x in y.to_pylist()]
+    for kind in (1, 2):
+        got = lm._answers(pa.Table.from_pylist([x for x in asked if x["kind"] == kind], lm_schema()))
+        pyarrow.dataset.write_dataset(got, f"{tmp_path}/answers", basename_template=f"{kind}-{{i}}.parquet", format="parquet", partitioning=["file"], partitioning_flavor="hive", existing_data_behavior="overwrite_or_ignore")
+    opened, real = [], pyarrow.dataset.dataset
+    monkeypatch.setattr(pyarrow.dataset, "dataset", lambda *a, **b: opened.append(a) or real(*a, **b))
+    shelf = lm._Shelf(f"file://{tmp_path}/answers", 1)
+    totals = [shelf.totals(block := lm.Block(row), row["block"], file)[0][block.word].tolist() for file, row in lm.blocks_of(f"file://{tmp_path}/texts", files)]
+    assert totals == [[1, 2, 3], [2, 2, 3], [2, 3]]  # words and the end of each text, over all blocks
+    assert len(opened) == 1
+
+
+def lm_schema():
+    return pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("file", pa.int64()), ("block", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
+
+
 def test_no_training_and_empty(spark):
     frame = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     got = sorted(tuple(r) for r in lm.score_corpus(frame, F.lit(False)).select(*COLUMNS).collect())

@@ -4,12 +4,14 @@ P(w | u) = a * c(u w) / c(u) + b * c(w) / N + (1 - a - b) / (V + 1), with weight
 The weights are learned by expectation-maximisation on held-out counts: every training token is held out in turn, that
 is, scored with counts from which it has been deleted.
 
-How the counts travel: documents are packed into blocks of some megabytes of text, written as a table. A block sends
-its distinct words and pairs of words, as sorted hashes with their counts in the block's training texts, to slices of
+How the counts travel: documents are packed into blocks of some megabytes of text. Python tasks write them, some blocks a
+file, to the shared folder and read them there, so Spark's rows hold no texts, only the names of files. A block sends its
+distinct words and pairs of words, as sorted hashes with their counts in the block's training texts, to slices of
 the hash space; a slice adds up the counts of all blocks and answers each block with what the others have, in the order
 it asked.
 So a word or pair travels once per block in which it stands, however often, and no task holds more than one slice or
-one block. The answers are a table in the shared folder that each block's task reads; texts are not shuffled.
+one block. The answers are a table in the shared folder, with a part for each file of blocks, that the file's task reads once; texts
+are not shuffled.
 
 What goes to the driver is bounded: N, V, and a histogram of the held-out tokens by context frequency and by rounded
 logarithms of the two estimates (mean estimates are kept per cell), on which the weights are learned.
@@ -21,48 +23,66 @@ each. A null id is kept. Columns of the input other than id and text are not rea
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.dataset
 import pyarrow.fs
+import pyarrow.parquet
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import SPACED, mix, slices, utf8, words
-from .common import crc_fold, release, scratch_path, stored, table, trimmed
+from .common import PLAIN_FILES, crc_fold, release, scratch_path, stored, table, trimmed
 
 BLOCK_BYTES, SLICE_ENTRIES, BLOCKS_A_FILE = 4 << 20, 2_000_000, 8
 START, END = np.uint64(0x5EED5EED5EED5EED), np.uint64(0xE4D0E4D0E4D0E4D1)
-BLOCK = "block long, n long, ids array<long>, train binary, offsets binary, data binary"
+BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("train", pa.binary()), ("offsets", pa.binary()), ("data", pa.binary())])
+FILES = "file long, size long"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 STEP, ITERATIONS = 0.05, 100
 
 
-def _pack(block_bytes: int):
+def _packed(batches, block_bytes: int):
+    """Blocks of whole texts, as rows of BLOCK."""
+    held: list = []
+    total = 0
+
+    def out():
+        joined = pa.Table.from_batches(held).combine_chunks()
+        data, offsets = utf8(joined.column("text"))
+        row = [[uuid.uuid4().int >> 65], [joined.column("doc_id").to_pylist()], [joined.column("train").to_numpy().astype(np.uint8).tobytes()], [offsets.astype("<i8").tobytes()], [data.tobytes()]]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, BLOCK.types, strict=True)], schema=BLOCK)
+
+    for whole in batches:
+        for batch in slices(whole, "text", block_bytes):
+            size = len(utf8(batch.column("text"))[0])
+            if held and total + size > block_bytes:
+                yield out()
+                held, total = [], 0
+            held.append(batch)
+            total += size
+    if held:
+        yield out()
+
+
+def _pack(path: str, block_bytes: int):
+    """Writes the blocks to files in the shared folder; a row of FILES for each. A task that runs again writes other files."""
+
     @trimmed
     def run(batches):
-        held: list = []
-        total = 0
-
-        def out():
-            joined = pa.Table.from_batches(held).combine_chunks()
-            data, offsets = utf8(joined.column("text"))
-            row = [[uuid.uuid4().int >> 65], [len(joined)], [joined.column("doc_id").to_pylist()], [joined.column("train").to_numpy().astype(np.uint8).tobytes()], [offsets.astype("<i8").tobytes()], [data.tobytes()]]
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], [x.split()[0] for x in BLOCK.split(", ")])
-
-        for whole in batches:
-            for batch in slices(whole, "text", block_bytes):
-                size = len(utf8(batch.column("text"))[0])
-                if held and total + size > block_bytes:
-                    yield out()
-                    held, total = [], 0
-                held.append(batch)
-                total += size
-        if held:
-            yield out()
+        store, root = pyarrow.fs.FileSystem.from_uri(path)
+        store.create_dir(root, recursive=True)
+        blocks = _packed(batches, block_bytes)
+        for first in blocks:
+            file, size = uuid.uuid4().int >> 65, 0
+            with pyarrow.parquet.ParquetWriter(f"{root}/{file}.parquet", BLOCK, filesystem=store, compression="zstd", compression_level=3, use_dictionary=False, write_statistics=False, write_page_checksum=True) as out:
+                for block in itertools.chain([first], itertools.islice(blocks, BLOCKS_A_FILE - 1)):
+                    out.write_batch(block)  # a row group of its own
+                    size += len(block.column("data")[0].as_buffer())
+            yield pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([size], pa.int64())], ["file", "size"])
 
     return run
 
@@ -79,11 +99,14 @@ def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ranked[new], order[new], inverse
 
 
-def rows_of(batches):
-    """The rows of block batches, one at a time."""
+def blocks_of(path: str, batches):
+    """The files of FILES batches and their blocks, one at a time, as rows of BLOCK."""
+    store, root = pyarrow.fs.FileSystem.from_uri(path)
     for batch in batches:
-        for i in range(batch.num_rows):
-            yield batch.slice(i, 1).to_pylist()[0]
+        for file in batch.column("file").to_pylist():
+            with pyarrow.parquet.ParquetFile(f"{root}/{file}.parquet", filesystem=store, page_checksum_verification=True) as held:
+                for i in range(held.num_row_groups):
+                    yield file, held.read_row_group(i, use_threads=False).to_pylist()[0]
 
 
 class Block:
@@ -153,22 +176,25 @@ def _bounds(parts: int) -> np.ndarray:
     return np.array([(i << 64) // parts for i in range(parts)], np.uint64)
 
 
-def _asks(parts: int):
+ASK = "part int, kind int, file long, block long, hashes binary, counts binary"
+
+
+def _asks(path: str, parts: int):
     @trimmed
     def run(batches):
-        for row in rows_of(batches):
-            rows = [(part, kind, row["block"], h, c) for kind, part, h, c in Block(row).asks(parts)]
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "kind", "block", "hashes", "counts"])
+        for file, row in blocks_of(path, batches):
+            rows = [(part, kind, file, row["block"], h, c) for kind, part, h, c in Block(row).asks(parts)]
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in ASK.split(", ")])
 
     return run
 
 
-ANSWER = "block long, kind int, part int, totals binary, n long, v long"
+ANSWER = "file long, block long, kind int, part int, totals binary, n long, v long"
 
 
 def _answers(asked: pa.Table) -> pa.Table:
-    """For each block that asked, what the others count of a slice and kind; and one row with N and V of the slice."""
+    """For each block that asked, what the others count of a slice and kind; and one row, of file -1, with N and V of the slice."""
     kind, part = asked.column("kind")[0].as_py(), asked.column("part")[0].as_py()
     hashes = [unpack_hashes(x) for x in asked.column("hashes").to_pylist()]
     counts = [unpack_counts(x, len(h)) for x, h in zip(asked.column("counts").to_pylist(), hashes, strict=True)]
@@ -180,21 +206,28 @@ def _answers(asked: pa.Table) -> pa.Table:
         at += len(h)
     n = len(hashes) + 1
     release()
-    columns = [pa.array([*asked.column("block").to_pylist(), None], pa.int64()), pa.array([kind] * n, pa.int32()), pa.array([part] * n, pa.int32()), pa.array([*out, None], pa.binary()), pa.array([None] * (n - 1) + [int(total.sum())], pa.int64()), pa.array([None] * (n - 1) + [int((total > 0).sum())], pa.int64())]
-    return pa.table(columns, names=["block", "kind", "part", "totals", "n", "v"])
+    columns = [pa.array([*asked.column("file").to_pylist(), -1], pa.int64()), pa.array([*asked.column("block").to_pylist(), None], pa.int64()), pa.array([kind] * n, pa.int32()), pa.array([part] * n, pa.int32()), pa.array([*out, None], pa.binary()), pa.array([None] * (n - 1) + [int(total.sum())], pa.int64()), pa.array([None] * (n - 1) + [int((total > 0).sum())], pa.int64())]
+    return pa.table(columns, names=["file", "block", "kind", "part", "totals", "n", "v"])
 
 
 class _Shelf:
-    """Reads the answers to a block from the table of answers."""
+    """Reads the answers to a file's blocks from the table of answers, once for each file."""
 
     def __init__(self, path: str, parts: int):
-        self.path, self.parts, self.store = path, parts, None
-
-    def totals(self, block: Block, key: int, bucket: int) -> tuple[np.ndarray, np.ndarray]:
-        if self.store is None:
-            self.store, self.root = pyarrow.fs.FileSystem.from_uri(self.path)
-        got = pyarrow.dataset.dataset(f"{self.root}/bucket={bucket}", filesystem=self.store, format="parquet").to_table(columns=["kind", "part", "totals"], filter=pyarrow.dataset.field("block") == key)
-        answers = {(k, p): d for k, p, d in zip(*(got.column(c).to_pylist() for c in ("kind", "part", "totals")), strict=True)}
+        self.path, self.parts, self.file, self.answers = path, parts, None, {}
+
+    def _read(self, file: int) -> None:
+        self.file, self.answers = file, {}
+        store, root = pyarrow.fs.FileSystem.from_uri(self.path)
+        checked = pyarrow.dataset.ParquetFileFormat(default_fragment_scan_options=pyarrow.dataset.ParquetFragmentScanOptions(page_checksum_verification=True))
+        for got in pyarrow.dataset.dataset(f"{root}/file={file}", filesystem=store, format=checked).to_batches(columns=["block", "kind", "part", "totals"], batch_readahead=1, fragment_readahead=1, use_threads=False):
+            for block, kind, part, totals in zip(*(x.to_pylist() for x in got.columns), strict=True):
+                self.answers.setdefault(block, {})[kind, part] = totals
+
+    def totals(self, block: Block, key: int, file: int) -> tuple[np.ndarray, np.ndarray]:
+        if self.file != file:
+            self._read(file)
+        answers = self.answers[key]
         out = []
         for kind, values, own in zip((1, 2), (block.words, block.pairs), block.counts(), strict=True):
             sizes = np.diff(np.append(np.searchsorted(values, _bounds(self.parts)), len(values)))
@@ -211,14 +244,14 @@ def context_bucket(count: np.ndarray) -> np.ndarray:
 HISTOGRAM = "context int, p2 int, p1 int, n long, sum2 double, sum1 double"
 
 
-def _held_out(shelf: _Shelf, n: int):
+def _held_out(path: str, shelf: _Shelf, n: int):
     """The histogram of the training tokens of each block, each scored with itself deleted."""
 
     @trimmed
     def run(batches):
-        for row in rows_of(batches):
+        for file, row in blocks_of(path, batches):
             block = Block(row)
-            word, pair = shelf.totals(block, row["block"], row["bucket"])
+            word, pair = shelf.totals(block, row["block"], file)
             weight = np.bincount(block.pair[block.train[block.doc]], minlength=len(block.pairs))
             some = weight > 0
             weight, c2, c1, c = weight[some], pair[some] - 1, word[block.pair_context[some]] - 1, word[block.pair_word[some]] - 1
@@ -264,12 +297,12 @@ def _weights_of(context: np.ndarray, lam: dict[int, tuple]) -> np.ndarray:
     return table[context]
 
 
-def _scores(shelf: _Shelf, n: int, v: int, lam: dict):
+def _scores(path: str, shelf: _Shelf, n: int, v: int, lam: dict):
     @trimmed
     def run(batches):
-        for row in rows_of(batches):
+        for file, row in blocks_of(path, batches):
             block = Block(row)
-            word, pair = shelf.totals(block, row["block"], row["bucket"])
+            word, pair = shelf.totals(block, row["block"], file)
             docs = len(block.sizes)
             base = np.log10((word + 1) / (n + v + 1))
             lam_of = _weights_of(context_bucket(word[block.pair_context]), lam)
@@ -286,22 +319,20 @@ def _scores(shelf: _Shelf, n: int, v: int, lam: dict):
 def score_corpus(docs: DataFrame, train: Column, *, row_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, slice_entries: int = SLICE_ENTRIES) -> DataFrame:
     """Scores every row of docs with the model of the rows for which `train` holds; the columns of SCORES and train_tokens."""
     read = docs.select(F.col(row_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    blocks = stored(read.mapInArrow(_pack(block_bytes), BLOCK), "lm-blocks", "zstd")
-    n_blocks, size = blocks.agg(F.count("*"), F.coalesce(F.sum(F.length("data")), F.lit(0))).first()
+    texts, answers = (scratch_path(docs.sparkSession, name) for name in ("lm-texts", "lm-answers"))
+    files = stored(read.mapInArrow(_pack(texts, block_bytes), FILES), "lm-files")
+    n_files, size = files.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     parts = max(24, -(-size // (6 * slice_entries)))
-    buckets = max(1, -(-n_blocks // BLOCKS_A_FILE))
-    bucket = F.pmod(F.xxhash64("block"), F.lit(buckets)).cast("int")
-    asked = blocks.mapInArrow(_asks(parts), "part int, kind int, block long, hashes binary, counts binary")
-    answered = asked.groupBy("part", "kind").applyInArrow(_answers, ANSWER).withColumn("bucket", F.when(F.col("block").isNull(), -1).otherwise(bucket))
-    path = scratch_path(docs.sparkSession, "lm-answers")
-    answered.repartition(max(buckets, 1), "bucket").sortWithinPartitions("bucket", "block").write.partitionBy("bucket").parquet(path, compression="zstd")
-    answers = docs.sparkSession.read.schema(answered.schema).parquet(path)
-    n, v = answers.where("bucket = -1 and kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    shelf = _Shelf(path, parts)
-    placed = blocks.withColumn("bucket", bucket)
-    cells = placed.mapInArrow(_held_out(shelf, n), HISTOGRAM).groupBy("context", "p2", "p1").agg(*(F.sum(c).alias(c) for c in ("n", "sum2", "sum1")))
+    dealt = files.repartition(max(1, n_files))
+    answered = dealt.mapInArrow(_asks(texts, parts), ASK).groupBy("part", "kind").applyInArrow(_answers, ANSWER)
+    answered.repartition(max(1, n_files), "file").sortWithinPartitions("file", "block").write.options(**PLAIN_FILES).partitionBy("file").parquet(answers, compression="zstd")
+    n = v = 0
+    if n_files:
+        n, v = docs.sparkSession.read.schema("kind int, n long, v long").parquet(f"{answers}/file=-1").where("kind = 1").agg(F.sum("n"), F.sum("v")).first()
+    shelf = _Shelf(answers, parts)
+    cells = dealt.mapInArrow(_held_out(texts, shelf, n), HISTOGRAM).groupBy("context", "p2", "p1").agg(*(F.sum(c).alias(c) for c in ("n", "sum2", "sum1")))
     lam = weights([(r["context"], r["n"], r["sum2"], r["sum1"]) for r in cells.collect()], v)
-    return placed.mapInArrow(_scores(shelf, n, v, lam), SCORES).withColumn("train_tokens", F.lit(n).cast("long"))
+    return dealt.mapInArrow(_scores(texts, shelf, n, v, lam), SCORES).withColumn("train_tokens", F.lit(n).cast("long"))
 
 
 def op10_lm(spark, sf_dir: str) -> DataFrame:
